@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reachlake.llm.common import documents, labels
+from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.exact_dedup import exact_dedup
+from reachlake.llm.simhash import simhash_components
+from reachlake.llm.toxicity import score_toxicity, train_on
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_on(docs, labels(spark, sf_dir), hold_out=True)
+    held_out = F.pmod(id_hash(), F.lit(5)) == 0
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_simhash_dedup": op4_simhash_dedup,
 }
 
 SQL: dict[str, str] = {
