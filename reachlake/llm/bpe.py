@@ -30,7 +30,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reachlake.llm.common import whole
 
-CACHE_WORDS = 1 << 16
+#: The letters and digits that Unicode 16 added, and its new capitals' small letters. The library knows
+#: Unicode 16; Python's unicodedata may be older, the regex module newer.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D49), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1),
+    (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
+)
+LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+CACHE_WORDS = 1 << 17
 #: Words longer than this aren't cached, which bounds the cache's bytes.
 CACHE_CHARS = 64
 
@@ -48,6 +57,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def of_known_letters(pattern: str) -> str:
+    """The pattern with the letters and numbers of Unicode 16 and no later ones."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)]
+    starts = [c for c, before in zip(new, [-1, *new], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(new, [*new[1:], -1], strict=True) if after != c + 1]
+    known = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+    return regex.sub(r"\\p\{([LN])\}", lambda m: rf"[\p{{{m[1]}}}--[{known}]]", pattern) if known else pattern
+
+
 class MergeTree:
     """Segment tree over the ranks of a word's adjacent pairs; ties go to the left."""
 
@@ -97,12 +116,14 @@ class Tokenizer:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile("(?V1)" + of_known_letters(split["pattern"]["Regex"]))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         letters = byte_alphabet()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Two generations: a full young one becomes the old one, so frequent words stay.
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -110,7 +131,7 @@ class Tokenizer:
         n = len(ids)
         if n > 1:
             none, get = (MergeTree.NONE, -1), self.merges.get
-            tree = MergeTree([get(pair, none)[0] for pair in zip(ids, ids[1:], strict=False)])
+            tree = MergeTree([get(pair, none)[0] for pair in zip(ids, ids[1:], strict=False)] + [MergeTree.NONE])
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             while (at := tree.leftmost()) >= 0:
                 right = after[at]
@@ -127,24 +148,33 @@ class Tokenizer:
                     tree.set(left, get((ids[left], ids[at]), none)[0])
         return tuple(x for x in ids if x >= 0)
 
+    def unseen(self, chunk: str) -> tuple[int, ...]:
+        """The ids of a chunk that the young generation lacks."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = tuple([i for word in self.pattern.findall(chunk.translate(LOWER_16)) for i in self.merge(word)])
+        if len(chunk) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        cache = self.cache
         for piece in self.cut.split(text):
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
             # A capital sigma at a word's end is an ordinary sigma here: letters are lowered one by one.
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for word in self.pattern.findall(plain):
-                ids = cache.get(word)
+            known = self.young.get
+            # No match of the pattern holds a space, so what stands between spaces is split and merged alone.
+            for chunk in plain.replace("\n", " ").split(" "):
+                ids = known(chunk)
                 if ids is None:
-                    ids = self.merge(word)
-                    if len(word) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        cache[word] = ids
-                out.extend(ids)
+                    ids = self.unseen(chunk)
+                    known = self.young.get
+                out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
