@@ -11,6 +11,7 @@ from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.simhash import simhash_components
+from reachlake.llm.suffix_dedup import remove_repeats
 from reachlake.llm.toxicity import score_toxicity, train_on
 
 
@@ -33,11 +34,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe": op6_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
