@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
+from reachlake.llm.lm import lm_scores
 from reachlake.llm.simhash import simhash_components
 from reachlake.llm.suffix_dedup import remove_repeats
 from reachlake.llm.toxicity import score_toxicity, train_on
@@ -38,12 +39,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe": op6_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 SQL: dict[str, str] = {
