@@ -11,6 +11,7 @@ from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
+from reachlake.llm.quality import quality_verdicts
 from reachlake.llm.simhash import simhash_components
 from reachlake.llm.suffix_dedup import remove_repeats
 from reachlake.llm.toxicity import score_toxicity, train_on
@@ -20,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_on(docs, labels(spark, sf_dir), hold_out=True)
@@ -45,6 +50,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe": op6_bpe,
