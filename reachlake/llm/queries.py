@@ -12,6 +12,7 @@ from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
 from reachlake.llm.quality import quality_verdicts
+from reachlake.llm.secrets import scan_secrets
 from reachlake.llm.simhash import simhash_components
 from reachlake.llm.suffix_dedup import remove_repeats
 from reachlake.llm.toxicity import score_toxicity, train_on
@@ -36,6 +37,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_secret_scans": op5_secret_scans,
     "op6_bpe": op6_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_lm_scores": op10_lm_scores,
