@@ -11,6 +11,7 @@ from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
+from reachlake.llm.pii import find_personal_data
 from reachlake.llm.quality import quality_verdicts
 from reachlake.llm.secrets import scan_secrets
 from reachlake.llm.simhash import simhash_components
@@ -45,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_bpe": op6_bpe,
+    "op7_personal_data": op7_personal_data,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_lm_scores": op10_lm_scores,
 }
