@@ -11,6 +11,7 @@ from reachlake.llm.common import documents, id_hash, labels
 from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
+from reachlake.llm.mixing import mixed_weights
 from reachlake.llm.pii import find_personal_data
 from reachlake.llm.quality import quality_verdicts
 from reachlake.llm.secrets import scan_secrets
@@ -54,6 +55,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_weights(documents(spark, sf_dir))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_personal_data": op7_personal_data,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_lm_scores": op10_lm_scores,
 }
 
