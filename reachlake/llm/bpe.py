@@ -39,7 +39,7 @@ UNICODE_16 = (
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
 )
 LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 #: Words longer than this aren't cached, which bounds the cache's bytes.
 CACHE_CHARS = 64
 
@@ -67,37 +67,58 @@ def of_known_letters(pattern: str) -> str:
     return regex.sub(r"\\p\{([LN])\}", lambda m: rf"[\p{{{m[1]}}}--[{known}]]", pattern) if known else pattern
 
 
-class MergeTree:
-    """Segment tree over the ranks of a word's adjacent pairs; ties go to the left."""
-
-    NONE = 1 << 62
-
-    def __init__(self, ranks: list[int]) -> None:
-        self.size = 1 << max(0, len(ranks) - 1).bit_length()
-        self.tree = [self.NONE] * self.size + ranks + [self.NONE] * (self.size - len(ranks))
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def set(self, at: int, rank: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = rank
-        while i > 1:
-            i >>= 1
-            low = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == low:
-                break
-            tree[i] = low
-
-    def leftmost(self) -> int:
-        """The first pair of the lowest rank, or -1."""
-        tree, i = self.tree, 1
-        low = tree[1]
-        if low == self.NONE:
-            return -1
-        while i < self.size:
+NONE = 1 << 62
+
+
+def merge_symbols(ids: list[int], merges: dict[int, int]) -> list[int]:
+    """The symbols after all merges; merges has rank << 16 | merged symbol by left << 16 | right.
+
+    The segment tree's leaf i is the entry of the pair that starts at symbol i, and an inner node the smaller of its two
+    children, so the root is the lowest rank; going down to the left while the left child has it ends at the leftmost such
+    pair. The updates stand here and not in functions, because a word of ordinary length takes a few microseconds.
+    """
+    n = len(ids)
+    size, get = 1 << (n - 1).bit_length(), merges.get
+    tree = [NONE] * (2 * size)
+    at, left = size, ids[0]
+    for right in ids[1:]:
+        tree[at] = get(left << 16 | right, NONE)
+        at, left = at + 1, right
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a <= b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (low := tree[1]) != NONE:
+        i = 1
+        while i < size:
             i *= 2
-            i += tree[i] != low
-        return i - self.size
+            if tree[i] != low:
+                i += 1
+        at = i - size
+        gone = after[at]
+        beyond, prior = after[gone], before[at]
+        ids[at] = new = low & 0xFFFF
+        ids[gone] = -1
+        after[at] = beyond
+        changed = [(gone + size, NONE)]
+        if beyond < n:
+            before[beyond] = at
+            changed.append((i, get(new << 16 | ids[beyond], NONE)))
+        else:
+            changed.append((i, NONE))
+        if prior >= 0:
+            changed.append((prior + size, get(ids[prior] << 16 | new, NONE)))
+        for i, value in changed:
+            tree[i] = value
+            while i > 1:
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+                if tree[i] == value:
+                    break
+                tree[i] = value
+    return [x for x in ids if x >= 0]
 
 
 class Tokenizer:
@@ -110,11 +131,11 @@ class Tokenizer:
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
-        #: (left id, right id) -> (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left << 16 | right -> rank << 16 | merged
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.merges[self.vocab[left] << 16 | self.vocab[right]] = rank << 16 | self.vocab[left + right]
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile("(?V1)" + of_known_letters(split["pattern"]["Regex"]))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
@@ -125,28 +146,11 @@ class Tokenizer:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, word: str) -> tuple[int, ...]:
+    def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
-        ids = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-        n = len(ids)
-        if n > 1:
-            none, get = (MergeTree.NONE, -1), self.merges.get
-            tree = MergeTree([get(pair, none)[0] for pair in zip(ids, ids[1:], strict=False)] + [MergeTree.NONE])
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            while (at := tree.leftmost()) >= 0:
-                right = after[at]
-                ids[at] = get((ids[at], ids[right]))[1]
-                ids[right] = -1
-                tree.set(right, MergeTree.NONE)
-                after[at] = beyond = after[right]
-                if beyond < n:
-                    before[beyond] = at
-                    tree.set(at, get((ids[at], ids[beyond]), none)[0])
-                else:
-                    tree.set(at, MergeTree.NONE)
-                if (left := before[at]) >= 0:
-                    tree.set(left, get((ids[left], ids[at]), none)[0])
-        return tuple(x for x in ids if x >= 0)
+        ids = list(map(self.inner.__getitem__, raw))
+        ids[-1] = self.last[raw[-1]]
+        return merge_symbols(ids, self.merges) if len(ids) > 1 else ids
 
     def unseen(self, chunk: str) -> tuple[int, ...]:
         """The ids of a chunk that the young generation lacks."""
