@@ -39,7 +39,7 @@ UNICODE_16 = (
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
 )
 LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 #: Words longer than this aren't cached, which bounds the cache's bytes.
 CACHE_CHARS = 64
 
@@ -156,7 +156,12 @@ class Tokenizer:
         """The ids of a chunk that the young generation lacks."""
         ids = self.old.get(chunk)
         if ids is None:
-            ids = tuple([i for word in self.pattern.findall(chunk.translate(LOWER_16)) for i in self.merge(word)])
+            words = self.pattern.findall(chunk.translate(LOWER_16))
+            if words == [chunk]:
+                ids = tuple(self.merge(chunk))
+            else:
+                # A word with a comma is a word and a comma, and each of them is known, or will be.
+                ids = tuple([i for word in words for i in self.young.get(word) or self.unseen(word)])
         if len(chunk) <= CACHE_CHARS:
             if len(self.young) >= CACHE_WORDS:
                 self.old, self.young = self.young, {}
