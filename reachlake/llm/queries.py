@@ -1,4 +1,4 @@
-"""One query opN_<name> per operator, over whole tables, and the SQL that says the same where SQL can."""
+"""One query opN_<name> per operator, over whole tables; SQL says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from reachlake.llm.bpe import encode_decode
 from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
 from reachlake.llm.mixing import mixed_weights
+from reachlake.llm.oracle import SQL
 from reachlake.llm.pii import find_personal_data
 from reachlake.llm.quality import quality_verdicts
 from reachlake.llm.secrets import scan_secrets
@@ -76,10 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
 }
 
-SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
-        select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
-               doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
-        from d window w as (partition by body)""",
-}
+__all__ = ["QUERIES", "SQL"]
