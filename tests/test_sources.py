@@ -210,3 +210,10 @@ def test_stream_into_the_store(spark, tmp_path):
         spark.createDataFrame([("u", 10)], schema).coalesce(1).write.mode("append").parquet(str(source))
     ingest_stream(spark.readStream.schema(schema).parquet(str(source)), store, split, str(tmp_path / "checkpoint")).awaitTermination(60)
     assert {(r.unit, r.n) for r in store.table("symbols").collect()} == {("u", 10), ("v", 2)}
+
+
+def test_written_tables(spark, tmp_path):
+    from reachlake.storage import new_path, written
+
+    df = written(spark.range(3), "three")
+    assert [r.id for r in df.orderBy("id").collect()] == [0, 1, 2] and new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
