@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachlake.operators.merge import dense_ids
 from reachlake.storage import written
 
 SMALL = 50_000
@@ -154,9 +155,6 @@ def component_order(components: DataFrame, symbols: DataFrame) -> DataFrame:
     is numbered by its first strong one. symbols has key, file, line, column, qualified_name and signature."""
     rows = components.join(symbols, "key")
     first = rows.groupBy("scc", "component").agg(F.min(F.struct("qualified_name", "signature", "file", "line", "column", "key")).alias("f"))
-    first = first.select("scc", "component", F.struct("f.file", "f.line", "f.column", "f.key").alias("place"))
-    from pyspark.sql.window import Window
-
-    ranked = first.withColumn("scc_id", F.row_number().over(Window.orderBy("place")) - 1)
-    ranked = ranked.withColumn("low", F.min("scc_id").over(Window.partitionBy("component")))
-    return ranked.withColumn("weak_id", F.dense_rank().over(Window.orderBy("low")) - 1).select("scc", "scc_id", "weak_id")
+    ranked = dense_ids(first.select("scc", "component", "f.file", "f.line", "f.column", "f.key"), ["file", "line", "column", "key"], "scc_id")
+    weak = dense_ids(ranked.groupBy("component").agg(F.min("scc_id").alias("low")), ["low"], "weak_id").select("component", "weak_id")
+    return ranked.join(weak, "component").select("scc", "scc_id", "weak_id")

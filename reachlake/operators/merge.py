@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from reachlake.schema import SCOPES
+from reachlake.storage import written
 
 #: Fields that must agree, and those that must agree where they aren't empty.
 STRICT, TOLERANT = ("kind", "internal_linkage"), ("qualified_name", "name", "class_name")
@@ -67,6 +70,17 @@ def dangling(edges: DataFrame, symbols: DataFrame, ends: tuple[str, ...] = ("src
     return out.distinct()
 
 
+def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with name, 0, 1, 2... in the order of columns that identify a row. Ranges of the order are sorted apart; only the ranges' counts, one row per
+    partition, come together."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).drop("_range", "_place", "_n", "_first", "_start")
+
+
 def distinct_facts(table: DataFrame) -> DataFrame:
     """Facts are equal if all their columns are, evidence included."""
     return table.dropDuplicates()

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reachlake.functions.keys import stable_key
 from reachlake.operators import aggregate, classify, components, diff, merge, resolve, targets
@@ -186,8 +185,7 @@ def duplicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.symbols(spark, sf_dir)
-    return rows.select(F.col("linkage_name").alias("key"), (F.row_number().over(Window.orderBy("linkage_name")) - 1).cast("long").alias("dense_id"))
+    return merge.dense_ids(tables.symbols(spark, sf_dir).select(F.col("linkage_name").alias("key")), ["key"], "dense_id")
 
 
 def stable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
