@@ -1,14 +1,19 @@
 """Language-model scores by a weighted backoff automaton.
 
 Tokens are the words of a text (A-Z lower-cased) and one end per text. The model is a backoff n-gram model with absolute
-discounting over smoothed unigrams, (c + 0.1) / (N + 0.1 (V + 1)). N-grams of order 2 and 3 are states of the
-automaton if at least the share LEAST of all training tokens ends them, so there are at most 1 / LEAST of each order,
-whatever the corpus: that bound is what allows the automaton to be broadcast. Unigrams are counted for every word. The frequent ones,
-by the same rule with COMMON, travel with the automaton; what a text has of the rest (no n-gram state holds them) is joined
-to the complete counts by a shuffle.
-
-An n-gram that is frequent has frequent parts, so pairs are counted among frequent words only, and triples among
-frequent pairs only; nothing that a state needs is lost.
+discounting over smoothed unigrams, (c + 0.1) / (N + 0.1 (V + 1)). Every n-gram of order 1 to 3 that occurs in the training
+rows is a state of the automaton, at any size of the corpus; nothing is dropped for being rare. So the automaton grows with
+the data and is nowhere held as a whole: its arcs and failure weights are worked out where the texts meet the counts.
+
+1. Words are numbers: those of at least the share COMMON of all tokens by rank, from a broadcast dictionary that has at most
+   1 / COMMON words, the others by a hash that was checked to tell them all apart. The token numbers of up to FLUSH tokens
+   are one row of a written table (a chunk); a text is never cut.
+2. For order 3, 2 and 1, each chunk sends its distinct n-grams, with their counts in training rows, to buckets by
+   hash, packed. A bucket adds up the counts of its n-grams, answers each chunk, and tells the buckets of the next lower order
+   by how much the counts of the n-grams that continue a history exceed 1 each. A history that isn't the end of a text is always continued, so its
+   count less that excess is the number of its arcs, which the failure weight needs. However common a word, pair or triple is, a
+   chunk sends it once, and the number of buckets grows with the tokens, so no task grows with the corpus.
+3. Each chunk meets its answers and its texts are traversed.
 
 Scoring is one traversal from left to right. A state is the longest suffix of what was read that the model
 holds; an arc adds the discounted log-probability, a failure arc the backoff weight of the state it leaves.
@@ -21,196 +26,283 @@ the base gives log10 1 to the end of every text. Other columns don't matter, wha
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from reachlake.llm.common import ascii_lower, id_hash, whole, words, written
 
 ADD = 0.1
 DISCOUNT = 0.6
-#: Shares of the training tokens from which an n-gram is a state, and a word travels with the automaton.
-LEAST, COMMON = 5e-6, 2e-6
+#: Share of all tokens from which a word has its number from the dictionary.
+COMMON = 2e-6
 FOLDS = 10
 #: The end of a text; no word holds a space.
 END = " "
-#: Tokens counted in memory before they are given on.
-FLUSH = 1 << 22
+#: Tokens of a chunk from which the next text starts another, and tokens per bucket.
+FLUSH, PER_BUCKET = 1 << 19, 1 << 20
+#: Hexadecimal digits of the hash that numbers other words, at least and at most.
+FEWEST, MOST = 12, 15
+CHUNK = ["chunk", "ids", "held", "sizes", "tokens"]
+PACKED = "chunk long, bucket long, blob binary"
 
 
 class Ids(dict):
-    """Word to number, -1 for others."""
+    """Word to number: the rank of common words, below zero for others."""
+
+    salt, digits = b"0", FEWEST
 
     def __missing__(self, word: bytes) -> int:
-        return -1
+        return (int.from_bytes(md5(self.salt + word).digest()[:8]) >> 64 - 4 * self.digits) - (1 << 4 * self.digits)
+
+
+def number_words(counts: DataFrame, tokens: int) -> Ids:
+    """Numbers for the words of counts (word, n), no two of which get the same."""
+    common = counts.filter(F.col("n") >= COMMON * tokens).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    ids = Ids({w.encode(): i for i, w in enumerate(common["word"])})
+    rest = counts.filter(F.col("n") < COMMON * tokens)
+    salt = 0
+    while not rest.groupBy(F.substring(F.md5(F.concat(F.lit(str(salt)), "word").cast("binary")), 1, ids.digits)).count().filter("count > 1").isEmpty():
+        salt += 1
+        ids.digits = min(MOST, ids.digits + 1)
+        ids.salt = str(salt).encode()
+    return ids
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Integer columns of one length, byte by byte of their values, compressed."""
+    table = np.stack(columns).astype(np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table.view(np.uint8).reshape(*table.shape, 8).transpose(0, 2, 1)).tobytes())
+
+
+def unpack(blob: bytes, columns: int) -> np.ndarray:
+    table = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(table.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
 
 
 @dataclass
-class Vocabulary:
-    """Frequent words, numbered from the most frequent down, and what is known of all tokens."""
-
-    ids: Ids
-    counts: np.ndarray
-    total: int
-    distinct: int
-
-    @property
-    def scale(self) -> float:
-        return self.total + ADD * (self.distinct + 1)
-
-    @property
-    def least(self) -> float:
-        return max(1.0, LEAST * self.total)
-
-    def numbers(self, text: str) -> list[int]:
-        """Of a text's tokens, the end last."""
-        found = list(map(self.ids.__getitem__, text.encode().lower().split()))
-        found.append(self.ids[END.encode()])
-        return found
-
-
-class Automaton:
-    """States are the empty one, words, and pairs (first << 32 | second). Every state but the empty one has arcs and a failure arc:
-    p(w | state) = max(c - DISCOUNT, 0) / n + weight * p(w | shorter state), where the weight is what the arcs leave."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: dict[int, int], triples: dict[tuple[int, int], int]) -> None:
-        self.vocabulary = vocabulary
-        uni = (vocabulary.counts + ADD) / vocabulary.scale
-        self.uni = np.log10(uni).tolist()
-        self.fail1, self.arc2 = self.arcs(((key >> 32, key, c) for key, c in pairs.items()), vocabulary.counts, lambda key: uni[key & 0xFFFFFFFF])
-        self.fail2, self.arc3 = self.arcs(((key[0], key, c) for key, c in triples.items()), pairs, lambda key: 10 ** self.step(key[0] & 0xFFFFFFFF, key[1]))
-
-    @staticmethod
-    def arcs(ngrams: Iterable[tuple[int, Any, int]], seen: Any, shorter: Callable[[Any], float]) -> tuple[dict[int, float], dict[Any, float]]:
-        ngrams = list(ngrams)
-        kept: dict[int, float] = {}
-        for state, _, c in ngrams:
-            kept[state] = kept.get(state, 0.0) + (c - DISCOUNT) / float(seen[state])
-        weight = {state: max(1e-9, 1 - x) for state, x in kept.items()}
-        arcs = {key: math.log10((c - DISCOUNT) / float(seen[state]) + weight[state] * shorter(key)) for state, key, c in ngrams}
-        return {state: math.log10(x) for state, x in weight.items()}, arcs
-
-    def step(self, word: int, w: int) -> float:
-        found = self.arc2.get(word << 32 | w)
-        return self.fail1.get(word, 0.0) + self.uni[w] if found is None else found
-
-    def traverse(self, numbers: list[int]) -> float:
-        """The text's log-probability, but for the unigram part of words that aren't frequent."""
-        score, word, pair = 0.0, -1, -1
-        uni, arc2, arc3, fail1, fail2 = self.uni, self.arc2.get, self.arc3.get, self.fail1.get, self.fail2.get
-        for w in numbers:
-            if pair >= 0:
-                found = arc3((pair, w))
-                if found is not None:
-                    score += found
-                    word, pair = w, word << 32 | w
-                    continue
-                score += fail2(pair, 0.0)
-            if word >= 0:
-                key = word << 32 | w
-                found = arc2(key) if w >= 0 else None
-                if found is not None:
-                    score += found
-                    word, pair = w, key
-                    continue
-                score += fail1(word, 0.0)
-            if w >= 0:
-                score += uni[w]
-            word, pair = w, -1
-        return score
-
-
-def count_ngrams(rows: DataFrame, vocabulary: Vocabulary, pairs: dict[int, int] | None) -> DataFrame:
-    """(first, second, c): pairs of frequent words (first is 0), or with pairs the triples that start and end with one of them."""
-    least = vocabulary.least
-    frequent = int((vocabulary.counts >= least).sum())
-    known = None if pairs is None else np.sort(np.fromiter(pairs, np.int64, len(pairs)))
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, known))
-
-    def flush(held: list[np.ndarray]) -> pd.DataFrame:
-        flat = np.concatenate(held)
-        a, b = flat[:-1], flat[1:]
-        key = np.where((a >= 0) & (b >= 0) & (a < frequent) & (b < frequent), a << 32 | b, -1)
-        if shared.value[1] is None:
-            found, c = np.unique(key[key >= 0], return_counts=True)
-            return pd.DataFrame({"first": np.zeros(len(found), np.int64), "second": found, "c": c})
-        own = shared.value[1]
-        at = np.minimum(np.searchsorted(own, key), max(0, len(own) - 1))
-        at = np.where(len(own) > 0 and (own[at] == key), at, -1)
-        both = (at[:-1] >= 0) & (at[1:] >= 0)
-        found, c = np.unique(at[:-1][both] << 32 | at[1:][both], return_counts=True)
-        return pd.DataFrame({"first": own[found >> 32], "second": own[found & 0xFFFFFFFF] & 0xFFFFFFFF, "c": c})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, size = shared.value[0], [], 0
+class Grams:
+    """The distinct n-grams of one order in a chunk: a column of numbers for each word, in ascending order, and which of them ends at each of some tokens."""
+
+    columns: list[np.ndarray]
+    at: np.ndarray
+    which: np.ndarray
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams' buckets, and the order that puts n-grams of one bucket together."""
+        bucket = bucket_of(self.columns, buckets)
+        return bucket, np.argsort(bucket, kind="stable")
+
+
+def mixed(columns: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        h = (h ^ x.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def bucket_of(columns: list[np.ndarray] | np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(columns) % np.uint64(buckets)).astype(np.int64)
+
+
+def gathered(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal n-grams together, and which are the first of theirs in it."""
+    h = mixed(columns)
+    by = np.argsort(h)
+    for exact in (False, True):
+        if exact:
+            by = np.lexsort(columns[::-1])
+        first = np.zeros(len(by), bool)
+        first[:1] = True
+        for x in columns:
+            x = x[by]
+            first[1:] |= x[1:] != x[:-1]
+        # Different n-grams of one hash may lie mixed; then their own order is taken.
+        if not (first[1:] & (h[by[1:]] == h[by[:-1]])).any():
+            break
+    return by, first
+
+
+def grams(numbers: np.ndarray, sizes: np.ndarray, order: int) -> list[Grams]:
+    """The n-grams of order 1 up to order; none crosses from one text to the next."""
+    low = (1 << 32) - 1
+    found, word = np.unique(numbers, return_inverse=True)
+    out = [Grams([found], np.arange(len(numbers)), word)]
+    if order == 1:
+        return out
+    inside = np.ones(len(numbers), bool)
+    inside[np.cumsum(sizes) - sizes] = False
+    at = np.flatnonzero(inside)
+    key, pair = np.unique(word[at - 1] << 32 | word[at], return_inverse=True)
+    out.append(Grams([found[key >> 32], found[key & low]], at, pair))
+    if order == 2:
+        return out
+    ending = np.zeros(len(numbers), np.int64)
+    ending[at] = pair
+    at = at[inside[at - 1]]
+    triple, which = np.unique(ending[at - 1] << 32 | word[at], return_inverse=True)
+    out.append(Grams([*(x[triple >> 32] for x in out[1].columns), found[triple & low]], at, which))
+    return out
+
+
+def split(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The slices of equal buckets, which come together."""
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def chunks_of(rows: DataFrame, ids: Ids) -> DataFrame:
+    """rows (id, held_out, text, row) as a written table of chunks: the columns of their rows as arrays, and the numbers of their tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast((dict(ids), ids.salt, ids.digits))
+    listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Ids(shared.value[0])
+        own.salt, own.digits = shared.value[1:]
+        number, end = own.__getitem__, own[END.encode()]
+        for batch in batches:
+            numbers: list[int] = []
+            sizes: list[int] = []
+            begin = 0
+            texts = batch.column("text").cast(pa.binary())
+            for i in range(len(batch)):
+                before = len(numbers)
+                numbers.extend(map(number, texts[i].as_py().lower().split()))
+                numbers.append(end)
+                sizes.append(len(numbers) - before)
+                if len(numbers) >= FLUSH or i + 1 == len(batch):
+                    part = batch.slice(begin, i + 1 - begin)
+                    columns = [part.column("row").slice(0, 1), listed(part.column("id")), listed(part.column("held_out")), listed(pa.array(sizes, pa.int64())), pa.array([pack([np.array(numbers, np.int64)])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=CHUNK)
+                    numbers, sizes, begin = [], [], i + 1
+
+    types = (LongType(), ArrayType(rows.schema["id"].dataType), ArrayType(BooleanType()), ArrayType(LongType()), BinaryType())
+    return written(rows.mapInArrow(chunk, StructType([StructField(n, t) for n, t in zip(CHUNK, types, strict=True)])), "chunks")
+
+
+def sent(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The distinct n-grams of each chunk with their counts in training rows, by bucket."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for text in df["text"]:
-                numbers = own.numbers(text)
-                numbers.append(-1)
-                held.append(np.array(numbers, np.int64))
-                size += len(numbers)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    counted = rows.select("text").mapInPandas(count, "first long, second long, c long")
-    return counted.groupBy("first", "second").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-
-
-def learn(train: DataFrame) -> tuple[DataFrame, Automaton]:
-    """The complete unigram counts (word, c) as a written table, and the automaton; train has text."""
-    ends = train.agg(F.count("*").alias("c")).filter("c > 0").select(F.lit(END).alias("word"), "c")
-    counts = train.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c")).union(ends)
-    counts = written(counts, "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = counts.filter(F.col("c") >= COMMON * total).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    vocabulary = Vocabulary(Ids({w.encode(): i for i, w in enumerate(common["word"])}), common["c"].to_numpy(np.int64), int(total), int(distinct))
-    found = count_ngrams(train, vocabulary, None).toPandas()
-    pairs = dict(zip(found["second"].tolist(), found["c"].tolist(), strict=True))
-    found = count_ngrams(train, vocabulary, pairs).toPandas()
-    triples = dict(zip(zip(found["first"].tolist(), found["second"].tolist(), strict=True), found["c"].tolist(), strict=True))
-    return counts, Automaton(vocabulary, pairs, triples)
+            for chunk, held, sizes, tokens in zip(df["chunk"], df["held"], df["sizes"], df["tokens"], strict=True):
+                own = grams(unpack(tokens, 1)[0], sizes, order)[-1]
+                trains = np.repeat(~held.astype(bool), sizes)[own.at]
+                count = np.bincount(own.which[trains], minlength=len(own.columns[0]))
+                bucket, by = own.dealt(buckets)
+                columns = [x[by] for x in (*own.columns, count)]
+                rows = [(chunk, b, pack([x[s] for x in columns])) for b, s in split(bucket[by])]
+                yield pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
+
+    return chunks.select("chunk", "held", "sizes", "tokens").mapInPandas(send, PACKED)
+
+
+def added(order: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a bucket says: to each chunk the count of its n-grams and the excess of those that continue each, in the chunk's order; and to the
+    buckets of their histories (chunk -1) the excess of its own n-grams."""
+
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        table = [unpack(x, order + 1) for x in df["blob"]]
+        size = np.array([p.shape[1] for p in table])
+        table = np.concatenate(table, axis=1)
+        value = table[-1]
+        by, first = gathered(table[:-1])
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(first) - 1
+        of_chunk = np.repeat(df["chunk"].to_numpy() >= 0, size)
+        n = int(first.sum())
+        sums = [np.bincount(which[own], weights=value[own], minlength=n).astype(np.int64) for own in (of_chunk, ~of_chunk)]
+        bucket, rows, at = int(df["bucket"].iloc[0]), [], 0
+        for chunk, m in zip(df["chunk"].tolist(), size.tolist(), strict=True):
+            if chunk >= 0:
+                rows.append((chunk, bucket, pack([x[which[at : at + m]] for x in sums])))
+            at += m
+        more = sums[0] > 1
+        if order > 1 and more.any():
+            history, excess = table[:-2, by[first][more]], sums[0][more] - 1
+            sort = np.lexsort(history[::-1])
+            history, excess = history[:, sort], excess[sort]
+            head = np.flatnonzero(np.concatenate(([True], (history[:, 1:] != history[:, :-1]).any(axis=0))))
+            told = [*history[:, head], np.add.reduceat(excess, head)]
+            to = bucket_of(told[:-1], buckets)
+            by = np.argsort(to, kind="stable")
+            told = [x[by] for x in told]
+            rows += [(-1, b, pack([x[s] for x in told])) for b, s in split(to[by])]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
+
+    return add
+
+
+def traversed(scale: float, buckets: dict[int, int]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The scores of a chunk's texts from its answers."""
+
+    def traverse(df: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        sizes = np.asarray(df["sizes"].iloc[0])
+        one, two, three = grams(unpack(df["tokens"].iloc[0], 1)[0], sizes, 3)
+        known = []
+        for order, own in enumerate((one, two, three), 1):
+            rows = answers[answers["order"] == order].sort_values("bucket")
+            by = own.dealt(buckets[order])[1]
+            got = np.empty((2, len(by)), np.int64)
+            got[:, by] = np.concatenate([unpack(x, 2) for x in rows["blob"]], axis=1) if len(rows) else np.zeros((2, 0), np.int64)
+            known.append(got)
+        # Of each state its count and that of its arcs' excess; of each token the probability after no, one and two words.
+        (c1, excess1), (c2, excess2), (c3, _) = known
+
+        def arc(count: np.ndarray, seen: np.ndarray, excess: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+            n = np.maximum(seen, 1)
+            return np.where(seen > 0, np.maximum(count - DISCOUNT, 0) / n + np.maximum(1e-9, DISCOUNT * (seen - excess) / n) * shorter, shorter)
+
+        p = ((c1 + ADD) / scale)[one.which]
+        base = np.log10(p)
+        before = one.which[two.at - 1]
+        p[two.at] = arc(c2[two.which], c1[before], excess1[before], p[two.at])
+        pair = np.zeros(len(p), np.int64)
+        pair[two.at] = two.which
+        before = pair[three.at - 1]
+        p[three.at] = arc(c3[three.which], c2[before], excess2[before], p[three.at])
+        start = np.cumsum(sizes) - sizes
+        n_known, base, score = (np.add.reduceat(x, start) for x in ((c1[one.which] > 0).astype(np.int64), base, np.log10(p)))
+        return pd.DataFrame({"chunk": df["chunk"], "known": [n_known], "base": [base], "score": [score]})
+
+    return traverse
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score; rows of fold 0 are held out."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), (F.pmod(id_hash(id_col), F.lit(FOLDS)) == 0).alias("held_out"), whole(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    counts, automaton = learn(rows.filter("not held_out"))
-    vocabulary = automaton.vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        ids, uni = own.vocabulary.ids, np.append(np.array(own.uni), 0.0)
-        end = END.encode()
-        for df in batches:
-            out = []
-            for text in df["text"]:
-                parts = text.encode().lower().split()
-                numbers = list(map(ids.__getitem__, parts))
-                rare = [x.decode() for x, w in zip(parts, numbers, strict=True) if w < 0]
-                numbers.append(ids[end])
-                if numbers[-1] < 0:
-                    rare.append(END)
-                out.append((len(numbers), len(numbers) - len(rare), float(uni[numbers].sum()), own.traverse(numbers), rare))
-            got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "rare"])
-            yield pd.concat([df[["id", "row", "held_out"]].reset_index(drop=True), got], axis=1)
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    scored = written(rows.mapInPandas(score, f"id {id_type}, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>"), "scored")
-    c = F.coalesce("c", F.lit(0))
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10((c + ADD) / F.lit(vocabulary.scale))).alias("low"), F.sum((c > 0).cast("long")).alias("known"))
-    more = scored.drop("rare").join(rare, "row", "left")
-    low = F.coalesce("low", F.lit(0.0))
-    return more.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + low).alias("base_score"), (F.col("score") + low).alias("score"),
+    c, n = F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n")
+    ends = rows.agg(c, n).filter("n > 0").select(F.lit(END).alias("word"), "c", "n")
+    counts = rows.select("held_out", F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(c, n).union(ends)
+    counts = written(counts, "unigrams")
+    tokens, total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = {order: max(least, math.ceil(tokens / PER_BUCKET / part)) for order, part in ((3, 1), (2, 1), (1, 4))}
+
+    chunks = chunks_of(rows, number_words(counts, tokens))
+    answers, told = [], None
+    for order in (3, 2, 1):
+        entries = sent(chunks, order, buckets[order])
+        entries = entries if told is None else entries.union(told)
+        said = written(entries.groupBy("bucket").applyInPandas(added(order, buckets.get(order - 1, 0)), PACKED), f"order{order}")
+        answers.append(said.filter("chunk >= 0").withColumn("order", F.lit(order)))
+        told = said.filter("chunk < 0")
+    answered = answers[0].union(answers[1]).union(answers[2]).groupBy("chunk")
+    scale = total + ADD * (distinct + 1)
+    scored = chunks.select("chunk", "sizes", "tokens").groupBy("chunk").cogroup(answered).applyInPandas(traversed(scale, buckets), "chunk long, known array<long>, base array<double>, score array<double>")
+    each = chunks.select("chunk", "ids", "held", "sizes").join(scored, "chunk").select(F.explode(F.arrays_zip("ids", "held", "sizes", "known", "base", "score")).alias("d"))
+    return each.select(
+        F.col("d.ids").alias(id_col), F.col("d.held").alias("held_out"), F.col("d.sizes").alias("n_tokens"), F.col("d.known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.col("d.base").alias("base_score"), F.col("d.score").alias("score"),
     )

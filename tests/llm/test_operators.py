@@ -467,6 +467,28 @@ def test_empty_tables_with_labels(spark):
     assert quality.quality_verdicts(empty, marks).collect() == [] and toxicity.drop_toxic(empty, marks).collect() == []
 
 
+def test_language_model_keeps_rare_ngrams_at_any_size(spark, monkeypatch):
+    """Among 240,000 tokens, an n-gram that was seen once is still a state."""
+    monkeypatch.setattr(lm, "COMMON", 1e-3)
+    monkeypatch.setattr(lm, "PER_BUCKET", 10_000, raising=False)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    train = [i for i in range(300) if fold(i)][:202]
+    held = next(i for i in range(300) if not fold(i))
+    texts = ["x y " * 600] * 200 + ["alpha beta gamma", "beta delta", "alpha beta gamma"]
+    got = {r.doc_id: r for r in lm.lm_scores(docs_of(spark, texts, [*train, held])).collect()}
+    total = 200 * 1201 + 4 + 3
+    scale = total + 0.1 * (7 + 1)
+    low = lambda c: (c + 0.1) / scale
+    # alpha begins a text; then beta, gamma and the end after one word and, for the last two, after two.
+    beta = 0.4 + 0.6 * low(2)
+    gamma = 0.4 + 0.6 * (0.4 / 2 + 2 * 0.6 / 2 * low(1))
+    end = 0.4 + 0.6 * (0.4 + 0.6 * low(202))
+    want = math.log10(low(1)) + math.log10(beta) + math.log10(gamma) + math.log10(end)
+    row = got[held]
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 4, 4, total)
+    assert abs(row.score - want) < 1e-9, (row.score, want)
+
+
 def test_language_model_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = lm.lm_scores(docs_of(spark, ["a b"], [held])).first()
