@@ -24,14 +24,15 @@ def target_closure(dependencies: DataFrame, start: DataFrame) -> DataFrame:
 
 def select_configuration(targets: DataFrame, name: str = "") -> str:
     """The named configuration, or the only one."""
-    names = sorted(r[0] for r in targets.select("configuration").distinct().limit(100).collect())
     if name:
-        if name not in names:
+        if targets.filter(F.col("configuration") == name).isEmpty():
             raise ValueError(f"unknown configuration {name!r}")
         return name
-    if len(names) != 1:
-        raise ValueError(f"{len(names)} configurations; one must be named")
-    return names[0]
+    names = targets.select("configuration").distinct()
+    first = names.limit(2).collect()
+    if len(first) != 1:
+        raise ValueError(f"{names.count()} configurations; one must be named")
+    return first[0][0]
 
 
 def select_target(targets: DataFrame, configuration: str, name: str = "") -> str:

@@ -51,7 +51,7 @@ def select_commands(build: Build, commands: DataFrame, configuration: str = "",
     closure = target_closure(link_dependencies(of(build.dependencies)), start)
     known = written(rows.join(closure.withColumnRenamed("target", "id"), "id", "left_semi"), "closure")
     members = known.orderBy("name", "id").select("id", "name", "kind").collect()  # the targets of one build
-    missing = [r.target for r in closure.join(known.select(F.col("id").alias("target")), "target", "left_anti").orderBy("target").limit(100).collect()]
+    missing = [r.target for r in closure.join(known.select(F.col("id").alias("target")), "target", "left_anti").orderBy("target").toLocalIterator()]
     own = next(r for r in members if r.id == chosen)
     notes = [f"dependency {m} is no target of the build" for m in missing] + [f"static library {r.name} is linked whole" for r in members if r.kind == "static_library" and r.id != chosen]
 
@@ -97,9 +97,9 @@ def require_observed(headers: list[str], declared: DataFrame) -> None:
             raise IncompleteRun(str(error)) from error
 
 
-def fallback_notes(symbols: DataFrame, most: int = 1000) -> list[str]:
+def fallback_notes(symbols: DataFrame) -> list[str]:
     """A note for each symbol without a stable identity, in key order."""
-    rows = symbols.filter("identity.quality = 'fallback'").select("qualified_name").orderBy("key").limit(most).collect()
+    rows = symbols.filter("identity.quality = 'fallback'").select("qualified_name").orderBy("key").toLocalIterator()
     return [f"fallback identity for {r.qualified_name}" for r in rows]
 
 

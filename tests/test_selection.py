@@ -85,3 +85,15 @@ def test_program(spark, tmp_path):
     assert "findings" not in json.loads((tmp_path / "bad.json").read_text())
     with pytest.raises(SystemExit):
         options([*base, "--format", "sarif"])
+
+
+def test_diagnostics_and_configurations_have_no_limit(spark):
+    from pyspark.sql import functions as F
+
+    from reachlake.operators.targets import select_configuration
+    from reachlake.plans.selection import fallback_notes
+
+    symbols = spark.range(1200).select(F.format_string("%05d", "id").alias("key"), F.concat(F.lit("f"), "id").alias("qualified_name"), F.struct(F.lit("fallback").alias("quality")).alias("identity"))
+    assert fallback_notes(symbols) == [f"fallback identity for f{i}" for i in range(1200)]
+    targets = spark.range(150).select(F.concat(F.lit("c"), "id").alias("configuration"))
+    assert [select_configuration(targets, f"c{i}") for i in range(0, 150, 10)] == [f"c{i}" for i in range(0, 150, 10)]
