@@ -1,17 +1,25 @@
 """Personal data by candidate gradient boosting. DataFrame functions only.
 
-Base kinds are email, ip, card and phone, by fixed patterns and checks. Two generators of high recall propose more, and what they propose
-overlaps freely: anything that looks like an address with an at-sign (written out or not) and a dotted host, and any
-run of digits with separators. Boosted trees score the candidates from their format (digits, groups, separators, plus, Luhn, dots, length) and
-their context (a cue word, a letter or digit that touches). A candidate that the base confirms is a positive example.
-
-All features have few values, so all candidates of all documents fold into one table of feature vectors with their
-counts (at most the product of the features' values, whatever the input; empty cells are absent). Each round fits a tree of depth
-DEPTH to the gradients of the logistic loss on that table; the trees become one CASE expression. A kind's threshold is the lowest
-score from which on PRECISION of the confirmed and unconfirmed candidates together are confirmed. Candidates at or above it that
-overlap no base span are added as spans of their kind; of added ones that overlap, the first stays.
-
-Defined cases: a null or empty text has no spans, and the digest of the empty list. With no candidates, or none confirmed, nothing is
+Base kinds are email, ip, card and phone, by fixed patterns and checks. Two generators of high recall propose more, and what
+they propose overlaps freely: anything that looks like an address (its at-sign or dots perhaps written out or bracketed), and
+every stretch of neighbouring digit groups with 7 to 19 digits (or of four groups), ASCII or full-width, so a list of numbers proposes all its
+parts. Boosted trees score a candidate from its format (groups, separators, lead, checks) and its context (cue words,
+what touches it, whether further groups join it).
+
+The trees must know more than the base, so they learn from what the base can't see. A candidate that is a base span vouches for
+its place: the text before it, with the span written in another way (VARIANTS: at-signs and dots written out, other separators, no plus, no
+country code, full-width digits), is a positive example. Negative ones are the candidates that touch no base span, and
+the same digits written as what only looks alike (ALIKE: versions, book numbers, sums, dates, serial numbers), after the same text
+and after words that go with them. Documents are halved by a hash of their id: one half trains, the other calibrates. A kind's
+threshold is the lowest score from which on PRECISION of the calibration examples are positive, SUPPORT of them at least.
+Candidates at or above it that touch no base span are added as spans of their kind. Of added ones that overlap the highest score
+stays, then the longest, then the first; an address goes before numbers in it.
+
+All features have few values, so all examples fold into one table of feature vectors with their counts, at most the
+product of the features' values, whatever the input (there are a few thousand in practice). Each round fits a tree of depth DEPTH
+to the gradients of the logistic loss on that table; the trees become one CASE expression.
+
+Defined cases: a null or empty text has no spans, and the digest of the empty list. With no base spans to learn from nothing is
 added. Rows that repeat stay rows. An empty table gives an empty result. Other columns don't matter, whatever their names.
 """
 
@@ -19,12 +27,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlake.llm.common import whole, written
-from reachlake.llm.spans import CONTEXT, listed, matches, overlaps, placed
+from reachlake.llm.spans import CONTEXT, contains, listed, matches, meets, placed
 
 KINDS = ("email", "ip", "card", "phone")
 START = r"(?:\G|(?<![%s]))"
@@ -33,15 +43,25 @@ IP = START % "0-9" + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: Candidates: an address however its at-sign is written, and digits with separators. Separators come singly or in pairs.
-ADDRESS = START % "A-Za-z0-9._%+-" + r"[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-NUMBER = START % "0-9" + r"(?:\+?)[0-9]++(?:[\x20().,/_-]{1,2}+[0-9]++)*+"
+#: Candidates: an address however its at-sign and dots are written, and groups of digits that separators join.
+AT = r"(?:\x20?@\x20?|\x20?[(\[{](?i:at)[)\]}]\x20?|\x20(?i:at)\x20)"
+DOT = r"(?:\.|\x20?[(\[{](?:\.|(?i:dot))[)\]}]\x20?|\x20(?i:dot)\x20)"
+ADDRESS = START % "A-Za-z0-9._%+-" + rf"[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"
+WIDE, NARROW = "０１２３４５６７８９．＋－", "0123456789.+-"
+GROUP = "[0-9０-９]++"
+JOIN = r"^(?:[\x20().,/_．－-]{1,2}|[(\[{]\.[)\]}])$"
+LAST_GROUP = r"[^0-9０-９]{1,3}[0-9０-９]+$"
 LEAST_DIGITS, MOST_DIGITS = 7, 19
-CUES = r"(?i)(?:mail|tel|phone|fon|mobil|call|fax|card|karte|tarjeta|carte|visa|ip|host|addr)[^0-9]{0,12}$"
-ROUNDS, DEPTH, RATE, SMOOTH = 20, 3, 0.4, 1.0
+CUES = r"(?i)(?:mail|tel|phone|fon|mobil|call|fax|card|karte|tarjeta|carte|visa|\bip|host|addr|contact|write)[^0-9]{0,12}$"
+OTHER_CUES = r"(?i)(?:\bv|vers|isbn|\bno\.?|n[r°º]\.?|#|[$€£]|eur|usd|total|sum|price|order|serial|id|date|since|=)[^0-9A-Za-z]{0,6}$"
+ROUNDS, DEPTH, RATE, SMOOTH = 30, 4, 0.4, 1.0
 PRECISION, SUPPORT = 0.98, 20
 
 
+def narrow(m: Column) -> Column:
+    return F.translate(m, WIDE, NARROW)
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -63,29 +83,152 @@ def passes(kind: str, m: Column) -> Column:
     return count.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def capped(x: Column, most: int) -> Column:
-    return F.least(x, F.lit(most)).cast("int")
-
-
 #: Features and the number of their values; all are whole numbers from 0.
-FEATURES = {"address": 2, "plus": 2, "digits": 6, "groups": 5, "dots": 5, "dashes": 2, "blanks": 2, "brackets": 2, "others": 2, "luhn": 2, "small": 2, "cue": 2}
+FEATURES = {"at": 4, "name": 2, "digits": 6, "groups": 5, "last": 4, "joins": 6, "lead": 4, "luhn": 2, "bytes": 2, "cents": 2, "before": 3, "left": 3, "right": 3, "cue": 3}
 
 
-def feature_values(m: Column, gap: Column) -> list[Column]:
-    """One column per feature of a candidate m after the text gap."""
-    d = digits(m)
+def feature_values(m: Column, before: Column, left: Column, right: Column, address: Column) -> list[Column]:
+    """One column per feature of a candidate m after the text before; left and right say how a further group joins it (0: none does)."""
+    plain = F.regexp_replace(narrow(m), r"[(\[{]\.[)\]}]", ".")
+    d = digits(plain)
     n = F.char_length(d)
-    has = lambda p: F.regexp_like(m, F.lit(p)).cast("int")
-    band = F.when(n < 9, 0).when(n < 11, 1).when(n < 13, 2).when(n < 15, 3).when(n < 17, 4).otherwise(5)
-    parts = F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")
-    dots = F.char_length(m) - F.char_length(F.translate(m, ".", ""))
+    like = lambda x, p: F.regexp_like(x, F.lit(p))
+    joins = F.regexp_replace(plain, r"[0-9+]", "")
+    number = lambda x: F.when(address, F.lit(0)).otherwise(x)
+    tail = F.char_length(F.regexp_extract(plain, "([0-9]+)[^0-9]*$", 1))
     values = {
-        "address": has("@|(?i:[(\\[]at[)\\]])"), "plus": has(r"^\+"), "digits": band, "groups": capped(F.size(parts), 4), "dots": capped(dots, 4), "dashes": has("-"), "blanks": has(" "), "brackets": has("[()]"), "others": has("[,/_]"),
-        "luhn": F.when(n.between(13, 19), luhn(d)).otherwise(F.lit(False)).cast("int"), "small": F.forall(parts, lambda x: F.char_length(x) <= 3).cast("int"), "cue": F.regexp_like(F.right(gap, F.lit(CONTEXT)), F.lit(CUES)).cast("int"),
+        "at": F.when(~address, 0).when(like(m, r"@"), 1).when(like(m, r"(?i)[(\[{]at[)\]}]"), 2).otherwise(3),
+        "name": F.when(address & like(m, "[A-Za-z]{2}$"), 1).otherwise(0),
+        "digits": number(F.when(n < 9, 0).when(n < 11, 1).when(n < 13, 2).when(n < 15, 3).when(n < 17, 4).otherwise(5)),
+        "groups": number(F.least(F.lit(4), F.size(F.split(F.regexp_replace(plain, "^[^0-9]+", ""), "[^0-9]+")) - 1)),
+        "last": number(F.when(tail < 3, 0).when(tail < 4, 1).when(tail < 5, 2).otherwise(3)),
+        "joins": number(F.when(joins == "", 0).when(like(joins, r"^\x20+$"), 1).when(like(joins, "^-+$"), 2).when(like(joins, r"^\.+$"), 3).when(like(joins, "[,_/]"), 4).otherwise(5)),
+        "lead": number(F.when(like(plain, r"^\+"), 1).when(like(plain, r"^00[\x20-]?[1-9]"), 2).when(like(plain, r"^\(?0?[1-9][0-9]*\)"), 3).otherwise(0)),
+        "luhn": number(F.when(n.between(13, 19), luhn(d)).otherwise(F.lit(False)).cast("int")),
+        "bytes": number(passes("ip", plain).cast("int")),
+        "cents": number((like(plain, r"[.,][0-9]{2}$") & ~passes("ip", plain)).cast("int")),
+        "before": F.when(like(before, r"[A-Za-zÀ-ÿ]$"), 1).when(like(before, r"[^\x20\t\n\r(|]$"), 2).otherwise(0),
+        "left": left,
+        "right": right,
+        "cue": F.when(like(before, CUES), 1).when(like(before, OTHER_CUES), 2).otherwise(0),
     }
     return [values[k].cast("int").alias(k) for k in FEATURES]
 
 
+def suggested(x: Column) -> Column:
+    """The kind that a feature vector suggests."""
+    return F.when(x["at"] > 0, "email").when(x["bytes"] == 1, "ip").when((x["digits"] >= 3) & (x["lead"] == 0), "card").otherwise("phone")
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's base spans by kind, its addresses, and its stretches of digit groups; both with the text before them."""
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "address": ADDRESS, "group": GROUP}
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    rows = rows.select("id", *[matches("text", p).alias(k) for k, p in patterns.items()])
+    always = lambda m: F.lit(True)
+    tail = lambda gap: F.right(gap, F.lit(CONTEXT)).alias("before")
+    join = lambda gap: F.when(F.regexp_like(gap, F.lit(JOIN)), gap).alias("join")
+    rows = rows.select(
+        "id", *[placed(k, lambda m, k=k: passes(k, m)).alias(k) for k in KINDS],
+        placed("address", always, lambda m, gap: [m.alias("m"), tail(gap), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(True).alias("address")]).alias("address"),
+        placed("group", always, lambda m, gap: [m.alias("m"), tail(gap), join(gap)]).alias("group"),
+    )
+    return rows.select("id", *KINDS, "address", F.flatten(F.transform("group", stretches)).alias("number"))
+
+
+def joined(join: Column) -> Column:
+    """How a group is joined to the next: not at all, by a blank among other things, or more closely."""
+    return F.when(join.isNull(), 0).when(F.contains(join, F.lit(" ")), 1).otherwise(2)
+
+
+def stretches(first: Column, i: Column) -> Column:
+    """The stretches of joined groups from the i-th on that have LEAST_DIGITS to MOST_DIGITS digits, or four groups. A plus or a bracket before the first group belongs to them."""
+    lead = F.regexp_extract(first["before"], r"[+＋]?\(?$", 0)
+    start = first["start"] - F.char_length(lead)
+    entry = lambda end, m, right: F.struct(
+        start.alias("start"), end.alias("end"), m.alias("m"), F.left(first["before"], F.char_length(first["before"]) - F.char_length(lead)).alias("before"), F.when(lead == "", joined(first["join"])).otherwise(0).alias("left"), right.alias("right"), F.lit(False).alias("address"),
+    )
+    nothing = F.filter(F.array(entry(F.lit(0), F.lit(""), F.lit(0))), lambda x: F.lit(False))
+    begin = F.struct(F.lit(0).alias("n"), F.lit("").alias("m"), F.lit(True).alias("open"), F.lit(0).alias("k"), nothing.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + F.char_length(x["m"])
+        whole_m = F.when(s["k"] == 0, F.concat(lead, x["m"])).otherwise(F.concat(s["m"], F.coalesce(x["join"], F.lit("")), x["m"]))
+        still = s["open"] & ((s["k"] == 0) | x["join"].isNotNull()) & (n <= MOST_DIGITS)
+        further = joined(F.get(F.col("group"), i + s["k"] + 1)["join"])
+        out = F.when(still & ((n >= LEAST_DIGITS) | (s["k"] == 3)), F.concat(s["out"], F.array(entry(x["end"], whole_m, further)))).otherwise(s["out"])
+        return F.struct(n.alias("n"), whole_m.alias("m"), still.alias("open"), (s["k"] + 1).alias("k"), out.alias("out"))
+
+    alone = (F.char_length(first["m"]) < LEAST_DIGITS) & F.get(F.col("group"), i + 1)["join"].isNull()
+    return F.when(alone | (F.char_length(first["m"]) > MOST_DIGITS), nothing).otherwise(F.aggregate(F.slice("group", i + 1, MOST_DIGITS), begin, step, lambda s: s["out"]))
+
+
+def with_features(x: Column) -> Column:
+    return F.struct(*[x[c].alias(c) for c in ("start", "end", "address")], *feature_values(x["m"], x["before"], x["left"], x["right"], x["address"]))
+
+
+def variants(m: Column, kind: Column) -> Column:
+    """Other ways to write a confirmed span."""
+    d = digits(m)
+    fours = lambda by: F.regexp_replace(d, r"([0-9]{4})(?=[0-9])", f"$1{by}")
+    national = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", "")
+    groups = F.regexp_replace(F.regexp_replace(m, r"^\+", ""), r"[^0-9]+", " ")
+    local = F.regexp_replace(groups, "^[0-9]{1,3} ", "")
+    at, dot = lambda by: F.replace(m, F.lit("@"), F.lit(by)), lambda x, by: F.replace(x, F.lit("."), F.lit(by))
+    ways = {
+        "email": [at(" @ "), at("[at]"), at("(at)"), at(" [at] "), dot(at(" at "), " dot "), dot(at(" (at) "), " (dot) "), dot(at("[at]"), "[.]")],
+        "ip": [dot(m, "[.]"), dot(m, "(.)"), F.translate(m, NARROW, WIDE)],
+        "card": [fours("."), fours("/"), fours("_"), fours("  "), F.translate(fours(" "), NARROW, WIDE), F.translate(d, NARROW, WIDE)],
+        "phone": [national, F.replace(national, F.lit("-"), F.lit(" ")), F.concat(F.lit("00"), groups), groups, local, F.replace(local, F.lit(" "), F.lit("-")), F.replace(local, F.lit(" "), F.lit("")), F.replace(groups, F.lit(" "), F.lit("/")), F.replace(groups, F.lit(" "), F.lit(".")), F.translate(m, NARROW, WIDE)],
+    }
+    nothing = F.array().cast("array<string>")
+    return reduce(lambda rest, k: F.when(kind == k, F.array(*ways[k])).otherwise(rest), KINDS, nothing)
+
+
+def alike(m: Column, before: Column) -> Column:
+    """(m, before, address) of what only looks alike, from the digits of a confirmed span."""
+    d = F.concat(digits(m), F.lit("2718281828459"))
+    cut = lambda a, n: F.substring(d, a, n)
+    join = lambda by, *parts: F.concat_ws(by, *parts)
+    number = F.lit(False)
+    said = lambda words: F.concat(F.right(before, F.lit(8)), F.lit(" " + words))
+    year = F.concat(F.lit("20"), cut(1, 2))
+    # A last digit that spoils Luhn's check.
+    serial = F.concat(cut(1, 15), F.when(luhn(F.concat(cut(1, 15), F.lit("0"))), "5").otherwise("0"))
+    pairs = [
+        (join(".", cut(1, 1), cut(2, 2), cut(4, 4)), "version "), (join(".", cut(1, 2), cut(3, 1), cut(4, 2), cut(6, 2)), "v"), (join(".", cut(1, 2), cut(3, 1), cut(4, 2), cut(6, 2)), "version "), (join(".", cut(1, 1), cut(2, 6)), ""),
+        (join("-", F.lit("978"), cut(1, 1), cut(2, 3), cut(5, 5), cut(10, 1)), "ISBN "), (join(",", cut(1, 2), cut(3, 3), F.concat(cut(6, 3), F.lit("."), cut(9, 2))), "$"), (join(".", cut(1, 2), cut(3, 3), F.concat(cut(6, 3), F.lit(","), cut(9, 2))), "total "), (join(",", cut(1, 2), cut(3, 3), F.concat(cut(6, 3), F.lit("."), cut(9, 2))), ""),
+        (join("-", year, F.lit("07"), cut(3, 2)), ""), (join(".", cut(3, 2), F.lit("07"), year), "since "), (join("/", cut(3, 2), F.lit("07"), year), ""), (join("-", F.lit("1999"), year), ""), (join(",", cut(1, 3), cut(4, 3), cut(7, 3)), ""),
+        (serial, ""), (serial, "No. "), (cut(1, 9), "order "), (cut(1, 8), ""), (cut(1, 12), "#"), (join("_", cut(1, 4), cut(5, 4), cut(9, 4)), "id="),
+    ]
+    made = [F.struct(x.alias("m"), (said(w) if w else before).alias("before"), number.alias("address")) for x, w in pairs]
+    made += [F.struct(F.concat(F.lit(w), cut(1, 2), F.lit("."), cut(3, 2)).alias("m"), before.alias("before"), F.lit(True).alias("address")) for w in ("look at ", "open @ ", "noon (at) ")]
+    return F.array(*made)
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """(part, features, kind, y): confirmed spans in other ways of writing, against what looks alike and what touches no base span. Part 0 trains, 1 calibrates."""
+    each = rows.select(*KINDS, F.pmod(F.xxhash64("id"), F.lit(2)).alias("part"), F.explode(F.concat("address", "number")).alias("x"))
+    at = lambda test, k: test(k, F.col("x.start"), F.col("x.end"))
+    confirmed = reduce(lambda rest, k: F.when(at(contains, k), k).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    touching = reduce(lambda a, b: a | b, [at(meets, k) for k in KINDS])
+    each = each.select("part", "x", confirmed.alias("kind"), touching.alias("touching"))
+    sides = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2))])
+    entry = lambda m, before, left, right, address, y: F.struct(m.alias("m"), before.alias("before"), left.alias("left"), right.alias("right"), address.alias("address"), y.alias("y"))
+    own = F.array(entry(F.col("x.m"), F.col("x.before"), F.col("x.left"), F.col("x.right"), F.col("x.address"), F.lit(0)))
+    close = lambda p: (p["left"] == 2) | (p["right"] == 2)
+    # A number stands alone or in a list; what a group joins closely is a part of something else.
+    yes = F.transform(variants(F.col("x.m"), F.col("kind")), lambda m: F.transform(sides, lambda p: entry(m, F.col("x.before"), p["left"], p["right"], F.col("kind") == "email", F.when(close(p), 0).otherwise(1))))
+    no = F.transform(alike(F.col("x.m"), F.col("x.before")), lambda a: F.transform(sides, lambda p: entry(a["m"], a["before"], p["left"], p["right"], a["address"], F.lit(0))))
+    # So is a number without its last group.
+    cut_off = F.filter(F.transform(variants(F.col("x.m"), F.col("kind")), lambda m: F.struct(F.regexp_replace(m, LAST_GROUP, "").alias("m"), F.when(F.regexp_like(m, F.lit(r"\x20" + "[0-9０-９]+$")), 1).otherwise(2).alias("right"))), lambda a: F.char_length(digits(narrow(a["m"]))) >= LEAST_DIGITS)
+    cut_off = F.when(F.col("kind").isin("phone", "card"), F.transform(cut_off, lambda a: entry(a["m"], F.col("x.before"), F.lit(0), a["right"], F.lit(False), F.lit(0))))
+    made = F.filter(F.flatten(F.concat(yes, no, F.array(F.coalesce(cut_off, F.slice(F.flatten(no), 1, 0))))), lambda e: ~e["address"] | (e["left"] + e["right"] == 0))
+    made = F.when(F.col("kind").isNotNull(), made).when(~F.col("touching"), own)
+    each = each.select("part", F.explode(made).alias("e"))
+    return each.select("part", "e.y", F.struct(*feature_values(F.col("e.m"), F.col("e.before"), F.col("e.left"), F.col("e.right"), F.col("e.address"))).alias("f"))
+
+
 @dataclass
 class Tree:
     """A test 'feature <= value' with the tree for yes and for no, or a leaf's value."""
@@ -96,10 +239,10 @@ class Tree:
     no: Tree | None = None
     leaf: float = 0.0
 
-    def of(self, row: dict[str, int]) -> float:
+    def of(self, table: dict[str, np.ndarray]) -> np.ndarray | float:
         if self.yes is None or self.no is None:
             return self.leaf
-        return (self.yes if row[self.feature] <= self.at else self.no).of(row)
+        return np.where(table[self.feature] <= self.at, self.yes.of(table), self.no.of(table))
 
     def column(self, x: Column) -> Column:
         if self.yes is None or self.no is None:
@@ -107,22 +250,22 @@ class Tree:
         return F.when(x[self.feature] <= self.at, self.yes.column(x)).otherwise(self.no.column(x))
 
 
-def grow(rows: list[dict], gradients: list[tuple[float, float]], depth: int) -> Tree:
-    """The tree of the largest gain in g * g / (h + SMOOTH); rows are feature vectors, gradients their summed g and h."""
-    g, h = sum(x for x, _ in gradients), sum(x for _, x in gradients)
-    best, score = None, g * g / (h + SMOOTH) + 1e-6
-    if depth:
-        for name, values in FEATURES.items():
-            for at in range(values - 1):
-                left = [(a, b) for r, (a, b) in zip(rows, gradients, strict=True) if r[name] <= at]
-                gl, hl = sum(x for x, _ in left), sum(x for _, x in left)
-                if 0 < len(left) < len(rows) and (gain := gl * gl / (hl + SMOOTH) + (g - gl) ** 2 / (h - hl + SMOOTH)) > score:
-                    best, score = (name, at), gain
+def grow(table: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, depth: int) -> Tree:
+    """The tree of the largest gain in g * g / (h + SMOOTH); a row of the table is a feature vector with its summed g and h."""
+    total_g, total_h = float(g.sum()), float(h.sum())
+    best, score = None, total_g * total_g / (total_h + SMOOTH) + 1e-6
+    for name, values in FEATURES.items() if depth else ():
+        left_g, left_h = (np.cumsum(np.bincount(table[name], weights=x, minlength=values))[:-1] for x in (g, h))
+        some = np.cumsum(np.bincount(table[name], minlength=values))[:-1]
+        gain = left_g**2 / (left_h + SMOOTH) + (total_g - left_g) ** 2 / (total_h - left_h + SMOOTH)
+        gain[(some == 0) | (some == len(g))] = -1
+        if len(gain) and gain.max() > score:
+            best, score = (name, int(gain.argmax())), float(gain.max())
     if best is None:
-        return Tree(leaf=-RATE * g / (h + SMOOTH))
+        return Tree(leaf=-RATE * total_g / (total_h + SMOOTH))
     name, at = best
-    sides = [[(r, x) for r, x in zip(rows, gradients, strict=True) if (r[name] <= at) == yes] for yes in (True, False)]
-    return Tree(name, at, *(grow([r for r, _ in s], [x for _, x in s], depth - 1) for s in sides))
+    yes = table[name] <= at
+    return Tree(name, at, *(grow({k: v[side] for k, v in table.items()}, g[side], h[side], depth - 1) for side in (yes, ~yes)))
 
 
 @dataclass
@@ -130,91 +273,74 @@ class Booster:
     bias: float
     trees: list[Tree]
     thresholds: dict[str, float]
+    #: (precision, recall) of each kind's threshold on the calibration half.
+    measured: dict[str, tuple[float, float]]
 
     def column(self, x: Column) -> Column:
-        total = F.lit(self.bias)
-        for tree in self.trees:
-            total = total + tree.column(x)
-        return total
+        return reduce(lambda total, tree: total + tree.column(x), self.trees, F.lit(self.bias))
 
 
 def boost(table: list[dict]) -> Booster:
-    """Trees and thresholds for rows of feature vectors with n candidates, of which the base confirms each kind's count."""
-    n, y = [r["n"] for r in table], [sum(r[k] for k in KINDS) for r in table]
-    rate = (sum(y) + 0.5) / (sum(n) + 1)
-    bias, trees = math.log(rate / (1 - rate)) if sum(y) else -20.0, []
-    scores = [bias] * len(table)
-    for _ in range(ROUNDS if sum(y) else 0):
-        p = [1 / (1 + math.exp(-s)) for s in scores]
-        tree = grow(table, [(pi * ni - yi, pi * (1 - pi) * ni) for pi, ni, yi in zip(p, n, y, strict=True)], DEPTH)
+    """Trees and thresholds for rows of feature vectors with part, kind, n examples and pos positive ones."""
+    columns = {f: np.array([r[f] for r in table], np.int64) for f in FEATURES}
+    part, n, y = (np.array([r[k] for r in table], float) for k in ("part", "n", "pos"))
+    kind, own = np.array([r["kind"] for r in table], object), part == 0
+    if not len(table) or not y[own].sum():
+        return Booster(-20.0, [], {}, {})
+    rate = (y[own].sum() + 0.5) / (n[own].sum() + 1)
+    bias, trees = math.log(rate / (1 - rate)), []
+    scores = np.full(len(table), bias)
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        tree = grow({k: v[own] for k, v in columns.items()}, (p * n - y)[own], (p * (1 - p) * n)[own], DEPTH)
         trees.append(tree)
-        scores = [s + tree.of(r) for s, r in zip(scores, table, strict=True)]
-    # A candidate's kind is the one its format suggests; each kind's threshold comes from its own candidates.
-    thresholds = {}
-    for kind in KINDS:
-        own = sorted(((s, r["n"], sum(r[k] for k in KINDS)) for s, r in zip(scores, table, strict=True) if suggested(r) == kind), reverse=True)
-        seen = right = 0
-        for i, (score, count, confirmed) in enumerate(own):
-            seen, right = seen + count, right + confirmed
-            if right >= SUPPORT and right >= PRECISION * seen and (i + 1 == len(own) or own[i + 1][0] < score):
-                thresholds[kind] = score - 1e-9
-    return Booster(bias, trees, thresholds)
-
-
-def suggested(row: dict[str, int]) -> str:
-    if row["address"]:
-        return "email"
-    if row["groups"] == 4 and row["dots"] == 3 and row["small"] and not row["plus"]:
-        return "ip"
-    return "card" if row["digits"] >= 3 and not row["plus"] else "phone"
-
-
-def suggested_column(x: Column) -> Column:
-    ip = (x["groups"] == 4) & (x["dots"] == 3) & (x["small"] == 1) & (x["plus"] == 0)
-    return F.when(x["address"] == 1, "email").when(ip, "ip").when((x["digits"] >= 3) & (x["plus"] == 0), "card").otherwise("phone")
-
-
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's base spans (start, end, kind by place) and its candidates with their features."""
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "address": ADDRESS, "number": NUMBER}
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    rows = rows.select("id", *[matches("text", p).alias(k) for k, p in patterns.items()])
-    enough = lambda m: F.char_length(digits(m)).between(LEAST_DIGITS, MOST_DIGITS)
-    rows = rows.select(
-        "id", *[placed(k, lambda m, k=k: passes(k, m)).alias(k) for k in KINDS],
-        placed("address", lambda m: F.lit(True), feature_values).alias("address"), placed("number", enough, feature_values).alias("number"),
-    )
-    kind = lambda name: F.transform(name, lambda x: F.struct(F.lit(KINDS.index(name)).alias("place"), x["start"].alias("start"), x["end"].alias("end"), F.lit(name).alias("kind")))
-    return rows.select("id", F.sort_array(F.concat(*map(kind, KINDS))).alias("base"), F.sort_array(F.concat("address", "number")).alias("candidates"))
+        scores = scores + tree.of(columns)
+    scores, thresholds, measured = np.round(scores, 9), {}, {}
+    for k in KINDS:
+        rows = sorted(((s, a, b) for s, a, b, w, o in zip(scores, n, y, kind, own, strict=True) if w == k and not o), reverse=True)
+        seen = right = 0.0
+        for i, (score, count, good) in enumerate(rows):
+            seen, right = seen + count, right + good
+            if right >= SUPPORT and right >= PRECISION * seen and (i + 1 == len(rows) or rows[i + 1][0] < score):
+                thresholds[k] = float(score) - 1e-6
+                measured[k] = (float(right / seen), float(right / sum(b for _, _, b in rows)))
+    return Booster(bias, trees, thresholds, measured)
 
 
 def train(rows: DataFrame) -> Booster:
-    """From all candidates of all rows, folded into counts by feature vector."""
-    each = rows.select("base", F.explode("candidates").alias("x"))
-    confirmed = lambda k: F.exists("base", lambda b: (b["kind"] == k) & (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])).cast("long")
-    table = each.select(*[F.col(f"x.{f}") for f in FEATURES], *[confirmed(k).alias(k) for k in KINDS]).groupBy(*FEATURES).agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in KINDS])
-    found = [r.asDict() for r in table.collect()]  # as many rows as there are feature vectors
-    for r in found:
-        total = sum(r[k] for k in KINDS)
-        if total > r["n"]:  # a candidate that two kinds confirm counts once
-            r.update({k: r[k] * r["n"] / total for k in KINDS})
-    return boost(sorted(found, key=lambda r: [r[f] for f in FEATURES]))
+    """From the examples of all rows, folded into counts by feature vector."""
+    table = examples(rows).withColumn("kind", suggested(F.col("f"))).groupBy("part", "f", "kind").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    found = [{**r.f.asDict(), "part": r.part, "kind": r.kind, "n": r.n, "pos": r.pos} for r in table.collect()]  # as many rows as there are feature vectors
+    return boost(sorted(found, key=lambda r: [r["part"], *(r[f] for f in FEATURES)]))
+
+
+def added_spans(rows: DataFrame, model: Booster) -> DataFrame:
+    """rows with new: the candidates beyond their kind's threshold that touch no base span, without those that a better one overlaps."""
+    entry = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), suggested(x).alias("kind"), F.round(model.column(x), 9).alias("score"))
+    bound = lambda x: reduce(lambda rest, k: F.when(x["kind"] == k, F.lit(model.thresholds[k])).otherwise(rest), model.thresholds, F.lit(None).cast("double"))
+    free = lambda x, kinds: ~reduce(lambda a, b: a | b, [meets(k, x["start"], x["end"]) for k in kinds])
+    for name in ("address", "number"):
+        rows = rows.withColumn(name, F.filter(F.transform(F.transform(F.filter(name, lambda x: free(x, KINDS)), with_features), entry), lambda x: F.coalesce(x["score"] >= bound(x), F.lit(False))))
+    # Numbers in a chosen address go; what may overlap a number is near it, because a stretch has at most MOST_DIGITS groups.
+    rows = rows.withColumn("number", F.filter("number", lambda x: free(x, ["address"])))
+    reach = MOST_DIGITS * (MOST_DIGITS - LEAST_DIGITS + 2)
+    better = lambda x, y: F.struct(y["score"], y["end"] - y["start"], -y["start"]) > F.struct(x["score"], x["end"] - x["start"], -x["start"])
+    near = lambda i: F.slice("number", F.greatest(F.lit(1), i - reach), F.lit(2 * reach + 1))
+    kept = F.filter("number", lambda x, i: ~F.exists(near(i), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & better(x, y)))
+    return rows.withColumn("new", F.concat("address", kept))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
     rows = written(candidates(docs, id_col, text_col), "candidates")
     model = train(rows)
-    kinds = F.lit(None).cast("string")
-    score = model.column
-    chosen = lambda x: F.exists(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in model.thresholds.items()]), lambda y: (suggested_column(x) == y["k"]) & (score(x) >= y["t"]))
-    new = F.filter("candidates", lambda x: ~overlaps(F.col("base"), x["start"], x["end"]))
-    new = F.filter(new, lambda x: chosen(x)) if model.thresholds else F.filter(new, lambda x: kinds.isNotNull())
-    place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), suggested_column(x)).cast("int") - 1
-    rows = rows.withColumn("new", F.sort_array(F.transform(new, lambda x: F.struct(place(x).alias("place"), x["start"].alias("start"), x["end"].alias("end"), suggested_column(x).alias("kind")))))
-    rows = rows.withColumn("new", F.filter("new", lambda x, i: ~F.exists(F.slice("new", F.lit(1), i), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    entry = lambda x, kind: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int").alias("place"), x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"))
+    own = lambda k: F.transform(k, lambda x: entry(x, F.lit(k)))
+    base = F.sort_array(F.concat(*map(own, KINDS)))
+    rows = rows.withColumn("base", base)
+    more = F.transform("new", lambda x: entry(x, x["kind"])) if model.thresholds else F.slice("base", 1, 0)
+    rows = added_spans(rows, model) if model.thresholds else rows
     return rows.select(
-        F.col("id").alias(id_col), *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        listed(F.sort_array(F.concat("base", "new"))).alias("spans"),
+        F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.sort_array(F.concat("base", more))).alias("spans"),
     )
