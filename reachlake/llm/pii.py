@@ -50,6 +50,8 @@ ADDRESS = START % "A-Za-z0-9._%+-" + rf"[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{
 WIDE, NARROW = "０１２３４５６７８９．＋－", "0123456789.+-"
 GROUP = "[0-9０-９]++"
 JOIN = r"^(?:[\x20().,/_．－-]{1,2}|[(\[{]\.[)\]}])$"
+#: How further groups may join an example on its left and right.
+SIDES = ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2))
 LAST_GROUP = r"[^0-9０-９]{1,3}[0-9０-９]+$"
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 CUES = r"(?i)(?:mail|tel|phone|fon|mobil|call|fax|card|karte|tarjeta|carte|visa|\bip|host|addr|contact|write)[^0-9]{0,12}$"
@@ -207,26 +209,26 @@ def alike(m: Column, before: Column) -> Column:
 
 
 def examples(rows: DataFrame) -> DataFrame:
-    """(part, features, kind, y): confirmed spans in other ways of writing, against what looks alike and what touches no base span. Part 0 trains, 1 calibrates."""
+    """(part, y, sided, f): confirmed spans in other ways of writing, against what looks alike and what touches no base span. Part 0 trains, 1 calibrates; sided ones stand for all SIDES."""
     each = rows.select(*KINDS, F.pmod(F.xxhash64("id"), F.lit(2)).alias("part"), F.explode(F.concat("address", "number")).alias("x"))
     at = lambda test, k: test(k, F.col("x.start"), F.col("x.end"))
     confirmed = reduce(lambda rest, k: F.when(at(contains, k), k).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
     touching = reduce(lambda a, b: a | b, [at(meets, k) for k in KINDS])
     each = each.select("part", "x", confirmed.alias("kind"), touching.alias("touching"))
-    sides = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2))])
-    entry = lambda m, before, left, right, address, y: F.struct(m.alias("m"), before.alias("before"), left.alias("left"), right.alias("right"), address.alias("address"), y.alias("y"))
-    own = F.array(entry(F.col("x.m"), F.col("x.before"), F.col("x.left"), F.col("x.right"), F.col("x.address"), F.lit(0)))
-    close = lambda p: (p["left"] == 2) | (p["right"] == 2)
-    # A number stands alone or in a list; what a group joins closely is a part of something else.
-    yes = F.transform(variants(F.col("x.m"), F.col("kind")), lambda m: F.transform(sides, lambda p: entry(m, F.col("x.before"), p["left"], p["right"], F.col("kind") == "email", F.when(close(p), 0).otherwise(1))))
-    no = F.transform(alike(F.col("x.m"), F.col("x.before")), lambda a: F.transform(sides, lambda p: entry(a["m"], a["before"], p["left"], p["right"], a["address"], F.lit(0))))
-    # So is a number without its last group.
-    cut_off = F.filter(F.transform(variants(F.col("x.m"), F.col("kind")), lambda m: F.struct(F.regexp_replace(m, LAST_GROUP, "").alias("m"), F.when(F.regexp_like(m, F.lit(r"\x20" + "[0-9０-９]+$")), 1).otherwise(2).alias("right"))), lambda a: F.char_length(digits(narrow(a["m"]))) >= LEAST_DIGITS)
-    cut_off = F.when(F.col("kind").isin("phone", "card"), F.transform(cut_off, lambda a: entry(a["m"], F.col("x.before"), F.lit(0), a["right"], F.lit(False), F.lit(0))))
-    made = F.filter(F.flatten(F.concat(yes, no, F.array(F.coalesce(cut_off, F.slice(F.flatten(no), 1, 0))))), lambda e: ~e["address"] | (e["left"] + e["right"] == 0))
-    made = F.when(F.col("kind").isNotNull(), made).when(~F.col("touching"), own)
+    entry = lambda m, before, left, right, address, y, sided: F.struct(m.alias("m"), before.alias("before"), left.alias("left"), right.alias("right"), address.alias("address"), F.lit(y).alias("y"), F.lit(sided).alias("sided"))
+    x, zero = F.col("x"), F.lit(0)
+    email = F.col("kind") == "email"
+    own = F.array(entry(x["m"], x["before"], x["left"], x["right"], x["address"], 0, False))
+    ways = variants(x["m"], F.col("kind"))
+    yes = F.transform(ways, lambda m: entry(m, x["before"], zero, zero, email, 1, True))
+    no = F.transform(alike(x["m"], x["before"]), lambda a: entry(a["m"], a["before"], zero, zero, a["address"], 0, True))
+    # A number without its last group is no number.
+    last = lambda m: F.when(F.regexp_like(m, F.lit(r"\x20[0-9０-９]+$")), 1).otherwise(2)
+    cut_off = F.transform(ways, lambda m: entry(F.regexp_replace(m, LAST_GROUP, ""), x["before"], zero, last(m), email, 0, False))
+    cut_off = F.filter(cut_off, lambda e: ~e["address"] & (F.char_length(digits(narrow(e["m"]))) >= LEAST_DIGITS))
+    made = F.when(F.col("kind").isNotNull(), F.concat(yes, no, cut_off)).when(~F.col("touching"), own)
     each = each.select("part", F.explode(made).alias("e"))
-    return each.select("part", "e.y", F.struct(*feature_values(F.col("e.m"), F.col("e.before"), F.col("e.left"), F.col("e.right"), F.col("e.address"))).alias("f"))
+    return each.select("part", "e.y", (F.col("e.sided") & ~F.col("e.address")).alias("sided"), F.struct(*feature_values(F.col("e.m"), F.col("e.before"), F.col("e.left"), F.col("e.right"), F.col("e.address"))).alias("f"))
 
 
 @dataclass
@@ -309,9 +311,16 @@ def boost(table: list[dict]) -> Booster:
 
 def train(rows: DataFrame) -> Booster:
     """From the examples of all rows, folded into counts by feature vector."""
-    table = examples(rows).withColumn("kind", suggested(F.col("f"))).groupBy("part", "f", "kind").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    found = [{**r.f.asDict(), "part": r.part, "kind": r.kind, "n": r.n, "pos": r.pos} for r in table.collect()]  # as many rows as there are feature vectors
-    return boost(sorted(found, key=lambda r: [r["part"], *(r[f] for f in FEATURES)]))
+    table = examples(rows).withColumn("kind", suggested(F.col("f"))).groupBy("part", "f", "kind", "y", "sided").agg(F.count("*").alias("n"))
+    found: dict[tuple, list[int]] = {}
+    for r in table.collect():  # as many rows as there are feature vectors
+        # A number stands alone or in a list, joined by blanks; what a group joins closely is a part of something else.
+        for left, right in SIDES if r.sided else ((r.f.left, r.f.right),):
+            key = (r.part, r.kind, *{**r.f.asDict(), "left": left, "right": right}.values())
+            n = found.setdefault(key, [0, 0])
+            n[0] += r.n
+            n[1] += r.n if r.y and max(left, right) < 2 else 0
+    return boost([{"part": part, "kind": kind, **dict(zip(FEATURES, f, strict=True)), "n": n, "pos": pos} for (part, kind, *f), (n, pos) in sorted(found.items())])
 
 
 def added_spans(rows: DataFrame, model: Booster) -> DataFrame:
