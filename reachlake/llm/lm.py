@@ -5,7 +5,7 @@ discounting over smoothed unigrams, (c + 0.1) / (N + 0.1 (V + 1)). Every n-gram
 rows is a state of the automaton, at any size of the corpus; nothing is dropped for being rare. So the automaton grows with
 the data and is nowhere held as a whole: its arcs and failure weights are worked out where the texts meet the counts.
 
-1. Words are numbers: those of at least the share COMMON of all tokens by rank, from a broadcast dictionary that has at most
+1. Words are counted, first within a task. Words are numbers: those of at least the share COMMON of all tokens by rank, from a broadcast dictionary that has at most
    1 / COMMON words, the others by a hash that was checked to tell them all apart. The token numbers of up to FLUSH tokens
    are one row of a written table (a chunk); a text is never cut.
 2. For order 3, 2 and 1, each chunk sends its distinct n-grams, with their counts in training rows, to buckets by
@@ -26,6 +26,7 @@ the base gives log10 1 to the end of every text. Other columns don't matter, wha
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from reachlake.llm.common import ascii_lower, id_hash, whole, words, written
+from reachlake.llm.common import id_hash, whole, written
 
 ADD = 0.1
 DISCOUNT = 0.6
@@ -48,7 +49,9 @@ FOLDS = 10
 #: The end of a text; no word holds a space.
 END = " "
 #: Tokens of a chunk from which the next text starts another, and tokens per bucket.
-FLUSH, PER_BUCKET = 1 << 19, 1 << 20
+FLUSH, PER_BUCKET = 1 << 19, 1 << 19
+#: Different words that a task counts before it gives them out.
+MOST_WORDS = 1 << 17
 #: Hexadecimal digits of the hash that numbers other words, at least and at most.
 FEWEST, MOST = 12, 15
 CHUNK = ["chunk", "ids", "held", "sizes", "tokens"]
@@ -64,6 +67,28 @@ class Ids(dict):
         return (int.from_bytes(md5(self.salt + word).digest()[:8]) >> 64 - 4 * self.digits) - (1 << 4 * self.digits)
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c, n): counts in training rows and in all, given out whenever MOST_WORDS different words have come together."""
+    trained, held = Counter(), Counter()
+
+    def given() -> pa.RecordBatch:
+        found = list({**trained, **held})
+        c = [trained[w] for w in found]
+        columns = [pa.array([w.decode() for w in found], pa.string()), pa.array(c, pa.int64()), pa.array([a + held[w] for a, w in zip(c, found, strict=True)], pa.int64())]
+        trained.clear()
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["word", "c", "n"])
+
+    for batch in batches:
+        for text, out in zip(batch.column("text").cast(pa.binary()), batch.column("held_out").to_pylist(), strict=True):
+            own = held if out else trained
+            own.update(text.as_py().lower().split())
+            own[END.encode()] += 1
+            if len(trained) + len(held) >= MOST_WORDS:
+                yield given()
+    yield given()
+
+
 def number_words(counts: DataFrame, tokens: int) -> Ids:
     """Numbers for the words of counts (word, n), no two of which get the same."""
     common = counts.filter(F.col("n") >= COMMON * tokens).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
@@ -193,16 +218,18 @@ def chunks_of(rows: DataFrame, ids: Ids) -> DataFrame:
 def sent(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     """The distinct n-grams of each chunk with their counts in training rows, by bucket."""
 
+    def entries(chunk: int, held: np.ndarray, sizes: np.ndarray, tokens: bytes) -> pd.DataFrame:
+        own = grams(unpack(tokens, 1)[0], sizes, order)[-1]
+        trains = np.repeat(~held.astype(bool), sizes)[own.at]
+        count = np.bincount(own.which[trains], minlength=len(own.columns[0]))
+        bucket, by = own.dealt(buckets)
+        columns = [x[by] for x in (*own.columns, count)]
+        return pd.DataFrame([(chunk, b, pack([x[s] for x in columns])) for b, s in split(bucket[by])], columns=["chunk", "bucket", "blob"])
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for chunk, held, sizes, tokens in zip(df["chunk"], df["held"], df["sizes"], df["tokens"], strict=True):
-                own = grams(unpack(tokens, 1)[0], sizes, order)[-1]
-                trains = np.repeat(~held.astype(bool), sizes)[own.at]
-                count = np.bincount(own.which[trains], minlength=len(own.columns[0]))
-                bucket, by = own.dealt(buckets)
-                columns = [x[by] for x in (*own.columns, count)]
-                rows = [(chunk, b, pack([x[s] for x in columns])) for b, s in split(bucket[by])]
-                yield pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
+            for row in zip(df["chunk"], df["held"], df["sizes"], df["tokens"], strict=True):
+                yield entries(*row)
 
     return chunks.select("chunk", "held", "sizes", "tokens").mapInPandas(send, PACKED)
 
@@ -212,9 +239,11 @@ def added(order: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     buckets of their histories (chunk -1) the excess of its own n-grams."""
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
-        table = [unpack(x, order + 1) for x in df["blob"]]
-        size = np.array([p.shape[1] for p in table])
-        table = np.concatenate(table, axis=1)
+        size = np.array([zstandard.frame_content_size(x) // (8 * (order + 1)) for x in df["blob"]])
+        table, at = np.empty((order + 1, int(size.sum())), np.int64), 0
+        for x, m in zip(df["blob"], size.tolist(), strict=True):
+            table[:, at : at + m] = unpack(x, order + 1)
+            at += m
         value = table[-1]
         by, first = gathered(table[:-1])
         which = np.empty(len(by), np.int64)
@@ -282,9 +311,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score; rows of fold 0 are held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), (F.pmod(id_hash(id_col), F.lit(FOLDS)) == 0).alias("held_out"), whole(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    c, n = F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n")
-    ends = rows.agg(c, n).filter("n > 0").select(F.lit(END).alias("word"), "c", "n")
-    counts = rows.select("held_out", F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(c, n).union(ends)
+    counts = rows.select("held_out", "text").mapInArrow(counted, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     counts = written(counts, "unigrams")
     tokens, total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
