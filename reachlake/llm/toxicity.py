@@ -3,13 +3,17 @@
 A text is lower-cased (A-Z) and cut at white space and punctuation; each word hashes to one of BUCKETS embeddings.
 Filters of WIDTHS words slide over the whole text, each filter's largest response is kept (max pooling), and a logistic
 output weighs them. A convolution over looked-up embeddings is a sum of looked-up rows, so scoring gathers from
-one small table (BUCKETS x sum(WIDTHS) x FILTERS floats), which is what is broadcast; its size doesn't depend on the data.
+one small table (a row of sum(WIDTHS) x FILTERS floats for each bucket that training met, BUCKETS at most), which is what is
+broadcast; its size doesn't grow with the data.
 
-Training: SAMPLE labelled documents at most, those of the smallest hash of their id; their whole texts become bucket
-numbers on the executors and only these reach the driver. A quarter of them doesn't train but calibrates:
+Training: SAMPLE labelled documents at most, one row each, those of the smallest hash of their id; their whole texts become bucket
+numbers on the executors and only these reach the driver, SAMPLE_WORDS of them at most (a text that doesn't fit is left out
+whole). All embedding dimensions train. The first starts at how much more often toxic texts hold the bucket than chance gives,
+the others at random. A quarter of the texts doesn't train but calibrates:
 Platt scaling for the score, and for each language the threshold, at least 0.5, above which at most FALSE_ALARMS
 of its clean documents lie. Languages with fewer than LEAST clean calibration documents take the threshold of all.
-The score itself sees nothing but the text.
+The score itself sees nothing but the text. To filter labelled rows, drop_toxic trains a model on each half of the ids and
+judges each half by the model that hasn't seen it.
 
 Defined cases: a null or empty text is a window of padding and gets that score. Labels that are null, or whose
 document is missing, don't train; of repeated labels the highest counts. With no labelled row of either kind every
@@ -27,13 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
-from reachlake.llm.common import id_hash, whole
+from reachlake.llm.common import id_hash, whole, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 SAMPLE, EPOCHS, BATCH, RATE, DECAY = 12000, 4, 32, 0.005, 1e-3
 FALSE_ALARMS, LEAST = 0.01, 200
-#: The first embedding dimension: deviations that count as nothing, and the divisor of the logarithm of those above.
+#: Words of the training texts that reach the driver, at four bytes each.
+SAMPLE_WORDS = 12_000_000
+#: Where the first embedding dimension starts: deviations that count as nothing, and the divisor of the logarithm of those above.
 DEAD, TOP = 1.0, 1.0
 #: Words convolved at a time.
 STEP = 1 << 15
@@ -57,7 +64,9 @@ def bucket_ids(text: str, buckets: Buckets) -> np.ndarray:
 
 @dataclass
 class Model:
-    table: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, sum(WIDTHS) * FILTERS), np.float32))
+    #: Rows of the buckets that say something, and each bucket's row; row 0 is empty.
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1, sum(WIDTHS) * FILTERS), np.float32))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.int32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
     out: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
     scale: tuple[float, float] = (1.0, -1e9)
@@ -86,7 +95,7 @@ def pooled(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def logit(ids: np.ndarray, model: Model) -> float:
-    best, _ = pooled(ids if len(ids) else np.zeros(1, np.uint32), model.table)
+    best, _ = pooled(model.place[ids if len(ids) else np.zeros(1, np.uint32)], model.table)
     return float(np.maximum(best + model.bias, 0) @ model.out)
 
 
@@ -102,8 +111,8 @@ def excess(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Adam on the logistic loss. The first embedding dimension is the bucket's excess in toxic texts and stays; while a half
-    of the texts trains, it comes from the other half, so that no text vouches for its own words. The others start at random."""
+    """Adam on the logistic loss. The first embedding dimension is the bucket's excess in toxic texts plus what is learnt; while a half
+    of the texts trains, the excess comes from the other half, so that no text vouches for its own words. The others start at random."""
     rng = np.random.default_rng(seed)
     texts = [x if len(x) else np.zeros(1, np.uint32) for x in texts]
     half = rng.permutation(len(texts)) % 2
@@ -111,6 +120,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     final = excess(texts, toxic)
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
     emb[0] = 0
+    emb[:, 0] = 0
     taps = [(k, t) for k, width in enumerate(WIDTHS) for t in range(width)]
     kernel = (rng.standard_normal((len(taps), DIM, FILTERS)) * 0.2).astype(np.float32)
     kernel[:, 0, :] = np.abs(kernel[:, 0, :]) + 0.2
@@ -128,10 +138,11 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
             # Only the batch's buckets take part; they are numbered anew, padding first.
             used, local = np.unique(np.concatenate([np.zeros(1, np.uint32), *(texts[i] for i in chosen)]), return_inverse=True)
             trained[used] = True
-            own_emb = emb[used]
-            own_emb[:, 0] = firsts[k][used]
+            learnt = emb[used]
+            own_emb = learnt.copy()
+            own_emb[:, 0] += firsts[k][used]
             table = np.concatenate([own_emb @ kernel[i] for i in range(len(taps))], axis=1)
-            grads = [DECAY * own_emb, DECAY * kernel, *(np.zeros_like(p) for p in dense[1:])]
+            grads = [DECAY * learnt, DECAY * kernel, *(np.zeros_like(p) for p in dense[1:])]
             at = 1
             for i in chosen:
                 ids = local[at : at + len(texts[i])]
@@ -159,9 +170,12 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
                 p[rows] -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-4)
     # A bucket that no text has trained says nothing.
     emb[~trained] = 0
-    emb[:, 0] = final
-    table = np.concatenate([emb @ kernel[i] for i in range(len(taps))], axis=1).astype(np.float32)
-    return Model(table, bias, out)
+    emb[:, 0] += final
+    some = np.flatnonzero(emb.any(axis=1))
+    place = np.zeros(BUCKETS, np.int32)
+    place[some] = np.arange(1, len(some) + 1)
+    rows = np.concatenate((np.zeros((1, DIM), np.float32), emb[some]))
+    return Model(np.concatenate([rows @ kernel[i] for i in range(len(taps))], axis=1).astype(np.float32), place, bias, out)
 
 
 def platt(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -192,7 +206,7 @@ def probability(z: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
         return 1 / (1 + np.exp(-(scale[0] * z + scale[1])))
 
 
-def train_on(docs: DataFrame, marks: DataFrame, hold_out: bool = True, sample: int = SAMPLE) -> Model:
+def train_on(docs: DataFrame, marks: DataFrame, hold_out: bool = True, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
     """The model of a bounded sample of labelled rows; with hold_out, rows whose crc32(id) mod 5 is 0 never train."""
     known = marks.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if hold_out:
@@ -203,9 +217,15 @@ def train_on(docs: DataFrame, marks: DataFrame, hold_out: bool = True, sample: i
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets = Buckets()
         for df in batches:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "lang": df["lang"], "toxic": df["toxic"], "ids": [bucket_ids(x, buckets).tobytes() for x in df["text"]]})
-
-    got = rows.mapInPandas(digest, "doc_id long, lang string, toxic int, ids binary").toPandas().sort_values(["doc_id", "ids"], ignore_index=True)
+            ids = [bucket_ids(x, buckets) for x in df["text"]]
+            yield pd.DataFrame({"doc_id": df["doc_id"], "lang": df["lang"], "toxic": df["toxic"], "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+
+    found = written(rows.mapInPandas(digest, "doc_id long, lang string, toxic int, n long, ids binary"), "sample")
+    # Of rows that share an id one trains; of at most SAMPLE rows a running sum tells which fit.
+    one = found.groupBy("doc_id").agg(F.min(F.struct("n", F.xxhash64("ids").alias("text"))).alias("x")).select("doc_id", "x.n", "x.text")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = one.withColumn("upto", upto).filter(F.col("upto") <= sample_words).select("doc_id", "text")
+    got = found.withColumn("text", F.xxhash64("ids")).join(F.broadcast(fitting), ["doc_id", "text"]).dropDuplicates(["doc_id"]).select("doc_id", "lang", "toxic", "ids").toPandas().sort_values("doc_id", ignore_index=True)
     toxic = (got["toxic"] > 0).to_numpy(float)
     if len(got) < 8 or toxic.min() == toxic.max():
         return Model()
@@ -245,7 +265,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs without those that are flagged."""
+    """docs without those that are flagged, each by a model that was trained on the other half of the ids."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.struct(*columns).alias("doc"), "text", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
-    return score_toxicity(packed, train_on(docs, marks, hold_out=False)).filter("not flagged").select("doc.*")
+    half = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2))
+    packed = docs.select(F.struct(*columns).alias("doc"), "text", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]), half().alias("half"))
+    kept = [score_toxicity(packed.filter(F.col("half") == k), train_on(docs, marks.filter(half() != k), hold_out=False)).filter("not flagged").select("doc.*") for k in (0, 1)]
+    return kept[0].unionAll(kept[1])

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -219,6 +220,34 @@ def test_toxicity_learns(spark):
     assert "score" in clean.columns and clean.filter("doc_id = 602").isEmpty() and not clean.filter("doc_id = 601").isEmpty()
 
 
+def test_every_embedding_dimension_trains():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, 200, 30).astype(np.uint32) for _ in range(80)]
+    toxic = np.array([i % 4 == 0 for i in range(80)], float)
+    for x, y in zip(texts, toxic, strict=True):
+        x[3] = 777 if y else 778
+    model = toxicity.fit(texts, toxic)
+    still = toxicity.excess(texts, toxic)
+    # A word of clean texts has no excess; what its row says has been learnt.
+    assert still[778] == 0 and model.place[778] and np.abs(model.table[model.place[778]]).max() > 1e-3
+    assert toxicity.logit(texts[0], model) > toxicity.logit(texts[1], model) and len(model.table) < 220
+
+
+def test_training_bytes_are_bounded(spark):
+    texts = [("vile " if i % 2 else "nice ") * 50 for i in range(100)]
+    rows = docs_of(spark, [*texts, *texts[:50]], [*range(100), *range(50)])
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    seen = []
+    whole_fit = toxicity.fit
+    toxicity.fit = lambda x, y: seen.append((len(x), sum(map(len, x)))) or whole_fit(x, y)
+    try:
+        toxicity.train_on(rows, marks, hold_out=False)
+        toxicity.train_on(rows, marks, hold_out=False, sample_words=1000)
+    finally:
+        toxicity.fit = whole_fit
+    assert 60 < seen[0][0] <= 100 and seen[1][1] <= 1000
+
+
 def test_toxicity_without_labels(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = docs_of(spark, ["a", None])
@@ -482,6 +511,51 @@ def test_raking_meets_the_targets(spark):
     assert abs(got.loc[got["selected"], "n_tokens"].sum() / got["n_tokens"].sum() - 0.3) < 0.08
 
 
+def plain_raking(tokens, values, goals, rounds=2000):
+    """Iterative proportional fitting over dictionaries: cells (tuples of values) to weights."""
+    weight, total = dict.fromkeys(tokens, 1.0), sum(tokens.values())
+    for _ in range(rounds):
+        for d in range(3):
+            for v in values[d]:
+                now = sum(tokens[c] * weight[c] for c in tokens if c[d] == v)
+                if now:
+                    for c in tokens:
+                        if c[d] == v:
+                            weight[c] *= goals[d].get(v, 0.0) * total / now
+    return weight
+
+
+def test_raking_equals_plain_fitting(spark):
+    rng = random.Random(19)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice(["en", "de", "fr"]), rng.choice(["a", "b", "c"]), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("topic", F.element_at(F.array(F.lit("t"), F.lit("u")), (F.col("doc_id") % 2 + 1).cast("int")))
+    given = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.2, "de": 0.7, "fr": 0.1}, "topic": {"t": 0.6, "u": 0.4}}
+    got = mixing.mixed_weights(docs, given).collect()
+    tokens = Counter()
+    for i, t, lang, source, _ in rows:
+        tokens[(source, lang, "tu"[i % 2])] += len(t.split())
+    want = plain_raking(tokens, [set(given[d]) for d in mixing.DIMENSIONS], [given[d] for d in mixing.DIMENSIONS])
+    assert all(r.met and r.gap <= mixing.TOLERANCE for r in got)
+    assert max(abs(r.weight / want[(r.source, r.lang, r.topic)] - 1) for r in got) < 0.02
+
+
+def test_raking_says_when_targets_are_out_of_reach(spark):
+    # Source a is always English, so no weights give a half of the tokens to a and a tenth to English.
+    rows = [(i, "w " * 5, "en" if i % 2 else "de", "a" if i % 2 else "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed_weights(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.1, "de": 0.9}}).collect()
+    assert len(got) == 40 and all(not r.met and r.gap > 0.1 for r in got)
+
+
+def test_raking_goes_on_while_it_gains(spark):
+    # Nearly disjoint marginals: one small cell joins them, and the fit converges slowly.
+    rows = [(i, "w " * 50, "en", "a", 0) for i in range(40)] + [(100 + i, "w " * 50, "de", "b", 0) for i in range(40)] + [(200, "w", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("topic", F.lit("t"))
+    given = {"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"t": 1.0}}
+    got = mixing.mixed_weights(docs, given).collect()
+    assert all(r.met for r in got)
+
+
 def test_mixing_without_broadcast_and_with_odd_rows(spark, texts, monkeypatch):
     rows = clashing(docs_of(spark, texts, ids_for(texts)))
     first = sorted(map(str, mixing.mixed_weights(rows).select("doc_id", F.round("probability", 6), "selected").collect()))
@@ -579,5 +653,48 @@ def test_pipeline_stages(spark, tmp_path, texts):
         assert out.columns == docs.columns, name
     bodies = {SPACE.sub(" ", r.text or "") for r in docs.collect()}
     assert corpus_pipeline.exact_dedup(spark, docs, "").count() == len(bodies)
-    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert result and len({r.doc_id for r in result}) == len(result) and set(result[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    # By brute force: no labels, so nothing is toxic; one of each text; one of each component; the mixture; the library's ids.
+    table = docs.collect()
+    first = {}
+    for r in sorted(table, key=lambda r: r.doc_id):
+        first.setdefault(SPACE.sub(" ", r.text or ""), r)
+    left = list(first.values())
+    roots = naive_components([naive_fingerprint(r.text or "") for r in left])
+    left = [r for i, r in enumerate(left) if r.doc_id == min(x.doc_id for x, c in zip(left, roots, strict=True) if c == roots[i])]
+    frame = spark.createDataFrame(left, docs.schema)
+    cells = {r.doc.doc_id: r for r in mixing.with_cells(frame, ["doc_id"]).collect()}
+    tokens = Counter()
+    for r in cells.values():
+        tokens[(r.source, r.lang, r.topic)] += r.n_tokens
+    goals = []
+    for d, name in enumerate(mixing.DIMENSIONS):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[d]] += n
+        raw = {v: n ** mixing.TEMPERATURE[name] for v, n in sums.items() if n}
+        goals.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    weight = plain_raking({c: n for c, n in tokens.items() if n}, [set(g) for g in goals], goals)
+    factor, total = 0.0, sum(tokens.values())
+    for _ in range(50):
+        full = sum(n for c, n in tokens.items() if n and weight[c] * factor >= 1)
+        factor = (corpus_pipeline.MIXED_SHARE * total - full) / sum(n * weight[c] for c, n in tokens.items() if n and weight[c] * factor < 1)
+    draws = {r.doc_id: r.d for r in frame.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11).cast("double") / float(1 << 53)).alias("d")).collect()}
+    chance = {i: min(1.0, factor * weight.get((r.source, r.lang, r.topic), 1.0)) for i, r in cells.items()}
+    result = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(result[next(iter(result))].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    wanted = {i for i in cells if draws[i] < chance[i]}
+    # The plain fit is run to the end and the operator's to its tolerance, so draws that lie as near as that may differ.
+    assert all(abs(draws[i] - chance[i]) < 0.02 for i in wanted ^ set(result)) and len(wanted ^ set(result)) <= 2
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    texts_by_id = {r.doc_id: r.text or "" for r in left}
+    for i, r in result.items():
+        ids = library.encode(texts_by_id[i], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
