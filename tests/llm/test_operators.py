@@ -471,14 +471,20 @@ def test_suffix_dedup_in_small_batches_and_steps(spark, texts, monkeypatch):
     import pandas as pd
 
     monkeypatch.setattr(suffix_dedup, "STEP", 700)
-    frames = [pd.DataFrame({"doc": [i], "tag": np.array([0], np.int32), "text": [t]}) for i, t in enumerate(docs)]
-    runs = pd.concat(list(suffix_dedup.scan_runs(iter(frames)))).sort_values(["bucket", "body", "doc", "tag", "start"], ignore_index=True)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 10)
+    frames = [pd.DataFrame({"doc": [i], "tag": [0], "text": [t]}) for i, t in enumerate(docs)]
+    plain = pd.concat(list(suffix_dedup.scan_runs(lambda: np.zeros(0, np.int64))(iter(frames))))
+    often = np.unique(plain["bucket"])[::3]
+    dealt = pd.concat(list(suffix_dedup.scan_runs(lambda: often)(iter(frames))))
+    assert set(plain["part"]) == {0} and len(set(dealt["part"])) > 10
     want = None
-    for size in (3, 50, len(runs)):
+    for size, runs in ((3, plain), (50, plain), (len(plain), plain), (3, dealt), (50, dealt)):
+        runs = runs.sort_values(["bucket", "body", "rest", "doc", "tag", "start"], ignore_index=True)
         out = pd.concat(list(suffix_dedup.split_runs(iter([runs.iloc[i : i + size] for i in range(0, len(runs), size)]))))
         opened = out[~out["again"].astype(bool)].sort_values(["bucket", "doc", "tag", "start"], ignore_index=True)
         opened["bytes"] = [docs[d].encode()[s : s + p // 128 - 1 + 100] for d, s, p in zip(opened["doc"], opened["start"], opened["pack"], strict=True)]
-        found = list(suffix_dedup.refine_all(iter([opened.iloc[i : i + 7] for i in range(0, len(opened), 7)]), 10))
+        opened["lo"], opened["hi"] = 0, suffix_dedup.SIDE
+        found = list(suffix_dedup.refine_all(iter([opened.iloc[i : i + 7] for i in range(0, len(opened), 7)])))
         spans = pd.concat([out[out["again"].astype(bool)][["doc", "start", "pack"]], *(f[["doc", "start", "pack"]] for f in found)])
         removed = []
         for i, t in enumerate(docs):
@@ -491,6 +497,23 @@ def test_suffix_dedup_in_small_batches_and_steps(spark, texts, monkeypatch):
     assert want == [x[1] for x in naive_cut(enumerate(docs))]
 
 
+def test_suffix_dedup_of_one_very_common_string(spark, monkeypatch):
+    """A short string in many different surroundings, and a passage with different text on both sides, whose buckets are split over the cluster."""
+    rng = random.Random(23)
+    common, passage = "The quick brown fox says it", prose(rng, 40)[:230]
+    docs = [prose(rng, 30) + common + prose(rng, 30) for _ in range(120)] + [prose(rng, 20) + passage[rng.randrange(60) :] + prose(rng, 20) for _ in range(80)] + [common * 12, common * 12 + "!"]
+    want = naive_cut(enumerate(docs))
+    assert sum(x[1] > 0 for x in want) > 70
+    rounds, split = [], suffix_dedup.halves
+    monkeypatch.setattr(suffix_dedup, "halves", lambda x: rounds.append(1) or split(x))
+    for bucket, share, frequent in ((8192, 64, 32), (12, 64, 32), (3, 1, 2)):
+        for name, value in (("BUCKET", bucket), ("SHARE", share), ("FREQUENT", frequent)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_of(spark, docs).repartition(3)).collect()}
+        assert [got[i] for i in range(len(docs))] == want, bucket
+        assert bool(rounds) == (bucket < 8192)
+
+
 def test_suffix_dedup_repeated_rows(spark):
     text = prose(random.Random(14), 80)
     got = suffix_dedup.remove_repeats(docs_of(spark, [text, text, text], [1, 1, None])).collect()
