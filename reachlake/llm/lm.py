@@ -44,12 +44,12 @@ from reachlake.llm.common import id_hash, whole, written
 ADD = 0.1
 DISCOUNT = 0.6
 #: Share of all tokens from which a word has its number from the dictionary.
-COMMON = 2e-6
+COMMON = 1e-6
 FOLDS = 10
 #: The end of a text; no word holds a space.
 END = " "
 #: Tokens of a chunk from which the next text starts another, and tokens per bucket.
-FLUSH, PER_BUCKET = 1 << 19, 1 << 19
+FLUSH, PER_BUCKET = 1 << 19, 1 << 20
 #: Different words that a task counts before it gives them out.
 MOST_WORDS = 1 << 17
 #: Hexadecimal digits of the hash that numbers other words, at least and at most.
