@@ -45,10 +45,6 @@ def qualified_name(scope: Column, name: Column) -> Column:
     return F.concat_ws("::", F.nullif(scope, F.lit("")), F.nullif(name, F.lit("")))
 
 
-def names_equivalent(name: Column, suffix: Column) -> Column:
-    return (name == suffix) | F.endswith(name, F.concat(F.lit(":"), suffix))
-
-
 def normalized_type(spelling: Column) -> Column:
     """A type's spelling without qualifiers, elaborations, and reference, pointer or blank at its end."""
     out = spelling

@@ -102,7 +102,7 @@ SELECTORS = FACTS + """,
 selectors as (
   select p_partkey as selector, case when p_partkey % 4 = 0 then (p_partkey * 2)::varchar else '' end as sid, case when p_partkey % 4 = 1 then 'sym:' || p_partkey else '' end as slink,
          case when p_partkey % 4 >= 2 then p_brand || '::' || p_partkey else '' end as sname, case when p_partkey % 4 = 3 then 'void (' || (p_size + p_partkey % 2) || ')' else '' end as ssig
-  from part where p_partkey % 11 = 3)"""
+  from part)"""
 
 R = "with recursive "
 SQL: dict[str, str] = {
@@ -152,7 +152,7 @@ SQL: dict[str, str] = {
         select selector, count(s.id) as matches, case when count(s.id) = 1 then min(s.id) end as id
         from selectors left join symbols s on (sid = '' or s.id::varchar = sid) and (slink = '' or s.linkage_name = slink) and (sname = '' or s.qualified_name = sname) and (ssig = '' or s.signature = ssig) group by selector""",
     "manual_roots": f"""with {FACTS}, requests as (
-          select distinct case p_partkey % 3 when 0 then p_partkey::varchar when 1 then 'sym:' || p_partkey else p_brand || '::' || (p_partkey + p_partkey % 2) end as request from part where p_partkey % 23 = 1)
+          select distinct case p_partkey % 3 when 0 then p_partkey::varchar when 1 then 'sym:' || p_partkey else p_brand || '::' || (p_partkey + p_partkey % 2) end as request from part)
         select request, id from requests left join symbols on request in (qualified_name, linkage_name, id::varchar)""",
     "dangling_edges": f"with {FACTS} select src, dst, kind from edges where src not in (select id from symbols where id % 37 <> 0) or dst not in (select id from symbols where id % 37 <> 0)",
     "duplicate_facts": f"with {FACTS} select kind, count(*) as n from edges group by kind",
@@ -165,20 +165,20 @@ SQL: dict[str, str] = {
         select distinct a.p_partkey as src, b.p_partkey as dst from up join part a on a.p_partkey = ancestor join part b on b.p_partkey = node
         where node <> ancestor and a.p_partkey % 3 = 0 and a.p_partkey % 5 = b.p_partkey % 5 and a.p_partkey % 2 = b.p_partkey % 2""",
     "construct_suffix_join": f"""with {FACTS}, classes as (select id as dst, 'lib::m' || (id % 7) || '::C' || (id % 50) as class_name from symbols where kind in ('constructor', 'destructor')),
-        used as (select id as src, case when id % 2 = 0 then 'm' || (id % 7) || '::C' || (id % 50) else 'C' || (id % 50) end as type from symbols where id % 9 = 2)
+        used as (select id as src, case when id % 2 = 0 then 'm' || (id % 7) || '::C' || (id % 50) else 'C' || (id % 50) end as type from symbols)
         select src, dst from used join classes on class_name = type or ends_with(class_name, ':' || type)""",
     "target_closure": """with recursive deps as (select 's' || s_suppkey as a, 'n' || s_nationkey as b from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation),
-        closed(target) as (select 's' || s_suppkey from supplier where s_suppkey % 7 = 1 union select b from closed join deps on a = target) select target from closed""",
+        closed(target) as (select 's' || s_suppkey from supplier union select b from closed join deps on a = target) select target from closed""",
     "command_preference": """with c as (select o_custkey, o_orderkey, o_orderstatus, coalesce(try_cast(o_orderpriority[1] as integer), 9) as p from orders), best as (select * from c qualify p = min(p) over (partition by o_custkey))
         select o_custkey as source, min(o_orderkey) as command, min(p)::bigint as preference, count(distinct o_orderstatus) > 1 as ambiguous from best group by o_custkey""",
     "diff_transitions": f"{R}{DIFF} select id, change, baseline_classification, current_classification, current_suppressed from diffs",
     "diff_counters": f"""{R}{DIFF} select count(*) filter (where change = 'new_symbol') as new_symbol, count(*) filter (where change = 'newly_unreachable') as newly_unreachable, count(*) filter (where change = 'removed') as removed,
         count(*) filter (where change = 'became_reachable') as became_reachable, count(*) filter (where change in ('new_symbol', 'newly_unreachable') and not current_suppressed and current_classification is not null) as policy_matches from diffs""",
     "policy_matches": f"{R}{DIFF} select id, change from diffs where change in ('new_symbol', 'newly_unreachable') and not current_suppressed and current_classification in ('dead', 'likely_dead')",
-    "offset_to_line": r"""with asked as (select doc_id as file, text, unnest(range(0, strlen(text) + 1, 997)) as "offset" from documents where text is not null),
+    "offset_to_line": r"""with asked as (select distinct doc_id as file, (l_partkey * 31 + l_linenumber) % (strlen(text) + 1) as "offset" from lineitem join documents on doc_id = l_orderkey % (select count(*) from documents where text is not null) where text is not null),
         starts as (select doc_id as file, pos as line, coalesce(sum(strlen(piece) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as at
                    from (select doc_id, unnest(string_split(text, chr(10))) as piece, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null))
-        select a.file, a."offset", max(s.line) as line from asked a join starts s on s.file = a.file and s.at <= a."offset" group by a.file, a."offset" """,
+        select a.file, a."offset", s.line from asked a asof join starts s on s.file = a.file and a."offset" >= s.at""",
     "fact_bytes": f"""with {FACTS}
         select 'symbols' as fact, count(*) as n, sum(strlen(linkage_name) + strlen(name) + strlen(qualified_name) + strlen(class_name) + strlen(signature) + coalesce(strlen(file), 0) + 12)::bigint as bytes from symbols
         union all select 'edges', count(*), (20 * count(*))::bigint from edges union all select 'roots', count(*), (12 * count(*))::bigint from roots

@@ -157,7 +157,7 @@ def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     empty, turn = F.lit(""), key % 4
     qualified = F.concat("p_brand", F.lit("::"), key.cast("string"))
-    return part.filter("p_partkey % 11 = 3").select(
+    return part.select(
         key.alias("selector"), F.when(turn == 0, (key * 2).cast("string")).otherwise(empty).alias("id"), F.when(turn == 1, F.concat(F.lit("sym:"), key.cast("string"))).otherwise(empty).alias("linkage_name"),
         F.when(turn >= 2, qualified).otherwise(empty).alias("qualified_name"), F.when(turn == 3, F.concat(F.lit("void ("), (F.col("p_size") + key % 2).cast("string"), F.lit(")"))).otherwise(empty).alias("signature"),
     )
@@ -168,7 +168,7 @@ def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manual_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.table(spark, sf_dir, "part").filter("p_partkey % 23 = 1")
+    part = tables.table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     request = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, F.concat(F.lit("sym:"), key.cast("string"))).otherwise(F.concat("p_brand", F.lit("::"), (key + key % 2).cast("string")))
     return named(resolve.manual_roots(part.select(request.alias("request")), tables.symbols(spark, sf_dir)), "request", id="key")
@@ -212,7 +212,7 @@ def construct_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions name a type by its last components; constructors belong to classes of three components."""
     own = tables.symbols(spark, sf_dir)
     classes = own.filter("kind in ('constructor', 'destructor')").select(F.col("key").alias("dst"), F.concat(F.lit("lib::m"), (F.col("key") % 7).cast("string"), F.lit("::C"), (F.col("key") % 50).cast("string")).alias("class_name"))
-    used = own.filter("key % 9 = 2").select(
+    used = own.select(
         F.col("key").alias("src"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("m"), (F.col("key") % 7).cast("string"), F.lit("::C"), (F.col("key") % 50).cast("string"))).otherwise(F.concat(F.lit("C"), (F.col("key") % 50).cast("string"))).alias("type")
     )
     return resolve.suffix_join(classes, "class_name", used, "type").select("src", "dst")
@@ -222,7 +222,7 @@ def target_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = tables.table(spark, sf_dir, "supplier"), tables.table(spark, sf_dir, "nation")
     first = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dependency"))
     second = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("target"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dependency"))
-    return targets.target_closure(first.union(second), supplier.filter("s_suppkey % 7 = 1").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target")))
+    return targets.target_closure(first.union(second), supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target")))
 
 
 def command_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +248,12 @@ def policy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item asks for one byte of one document."""
     docs = tables.table(spark, sf_dir, "documents").filter("text is not null")
-    asked = docs.select(F.col("doc_id").alias("file"), F.explode(F.sequence(F.lit(0), F.octet_length("text"), F.lit(997))).alias("offset"))
+    count = docs.count()
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.pmod("l_orderkey", F.lit(count)).alias("doc_id"), (F.col("l_partkey") * 31 + F.col("l_linenumber")).alias("at"))
+    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    asked = lines.join(sizes, "doc_id").select(F.col("doc_id").alias("file"), F.pmod("at", F.col("size") + 1).alias("offset")).distinct()
     return resolve.lines_of_offsets(docs.select(F.col("doc_id").alias("file"), "text"), asked).select("file", "offset", F.col("line").cast("long").alias("line"))
 
 

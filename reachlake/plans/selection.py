@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlake.functions.keys import path_contains
+from reachlake.functions.keys import directory_key, path_contains
 from reachlake.operators.merge import require_empty
 from reachlake.operators.resolve import manual_roots, preferred_commands
 from reachlake.operators.targets import command_preference, link_dependencies, select_configuration, select_target, target_closure
@@ -57,7 +57,7 @@ def select_commands(build: Build, commands: DataFrame, configuration: str = "",
 
     if explicit_api and own.kind not in LIBRARIES:
         raise ValueError("public API roots require a selected library")
-    headers = [r.path for r in of(build.headers).filter(F.col("id") == chosen).select("path").distinct().orderBy(F.split("path", "/")).collect()]
+    headers = [r.path for r in of(build.headers).filter(F.col("id") == chosen).select("path").distinct().orderBy(directory_key(F.col("path"))).collect()]
     if own.kind in NEED_API and not headers and not explicit_api:
         raise IncompleteRun("the selected library requires public headers or explicit public API roots")
 

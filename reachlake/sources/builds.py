@@ -169,14 +169,18 @@ def depfile_inputs(text: str) -> list[str]:
     return found
 
 
-def read_depfiles(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, dependency) for make dependency files."""
+def dependencies_of(files: DataFrame) -> DataFrame:
+    """(path, dependency) for make dependency files (path, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             yield pd.DataFrame([(p, d) for p, t in zip(df["path"], df["text"], strict=True) for d in depfile_inputs(t)], columns=["path", "dependency"])
 
-    return whole_files(spark, *paths).mapInPandas(run, "path string, dependency string")
+    return files.select("path", "text").mapInPandas(run, "path string, dependency string")
+
+
+def read_depfiles(spark: SparkSession, *paths: str) -> DataFrame:
+    return dependencies_of(whole_files(spark, *paths))
 
 
-__all__ = ["Build", "commands_of", "depfile_inputs", "mapping", "newest_index", "normalized_commands", "read_cmake_replies", "read_compile_commands", "read_depfiles", "read_target_manifest"]
+__all__ = ["Build", "commands_of", "dependencies_of", "depfile_inputs", "mapping", "newest_index", "normalized_commands", "read_cmake_replies", "read_compile_commands", "read_depfiles", "read_target_manifest"]

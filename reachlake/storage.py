@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs)."""
+    """spark.checkpoint.dir; where it is unset a temporary folder in local runs, and an error on a cluster, whose executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="reachlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -89,6 +89,56 @@ def test_reachability_of_extracted_facts(facts):
     assert {"main", "live", "init", "run2", "handler", "bound"} <= live and not live & {"dead", "alsodead", "rebound", "Box"}
 
 
+@pytest.fixture(scope="module")
+def corners(spark):
+    """Templates' patterns, variables of system headers, std::function, namespace-scope registrations, functors, out-of-line definitions, exports."""
+    d = Dump("/p/src/a.cpp")
+    function = "std::function<void ()>"
+    d.add(d.decl("FunctionDecl", "pattern", mangledName=""), d.decl("FunctionDecl", "implicit", isImplicit=True))
+    d.add(*(d.decl("FunctionDecl", x) for x in ("kept", "registered", "reg", "fromheader", "fromhere", "given", "stored")))
+    d.add(d.decl("FunctionDecl", "hidden", inner=[{"kind": "CompoundStmt"}, {"kind": "VisibilityAttr", "visibility": "hidden"}], body=False), d.decl("FunctionDecl", "secret", storageClass="static"))
+    functor = [d.decl("CXXMethodDecl", "operator()", id="0xop", mangledName="_Zop")]
+    d.add({"id": "0xFun", "kind": "CXXRecordDecl", "name": "Fun", "inner": functor, "loc": {"file": d.unit, "line": 1}})
+    d.add({"id": "0xns", "kind": "NamespaceDecl", "name": "ns", "inner": [{"id": "0xC", "kind": "CXXRecordDecl", "name": "C", "inner": []}]})
+    d.add(d.decl("CXXMethodDecl", "outofline", parentDeclContextId="0xC"))
+    variable = lambda name, file, *inner: {"kind": "VarDecl", "id": f"0x{name}", "name": name, "loc": {"file": file, "line": 3}, "inner": list(inner)}
+    d.add(variable("g1", "/usr/include/h.h", call("fromheader")), variable("g2", d.unit, call("fromhere")), variable("g3", d.unit, call("reg", {"kind": "IntegerLiteral"}, ref("registered"))))
+    build = {"kind": "CXXConstructExpr", "type": {"qualType": function}, "inner": [{"kind": "ImplicitCastExpr", "inner": [ref("stored")]}]}
+    object_ = {"kind": "DeclRefExpr", "type": {"qualType": "const Fun"}, "referencedDecl": {"id": "0xf", "kind": "VarDecl", "name": "f"}}
+    through = lambda name: {"kind": "CallExpr", "inner": [ref(name, "VarDecl")]}
+    lambda_ = {"kind": "LambdaExpr", "inner": [{"kind": "CXXRecordDecl", "inner": [d.decl("CXXMethodDecl", "operator()", [call("kept")], id="0xl", mangledName="_Zl")]}]}
+    local = {"kind": "VarDecl", "id": "0xlv", "name": "lv", "inner": [lambda_]}
+    notbound = {"kind": "VarDecl", "id": "0xnb", "name": "nb", "inner": [call("kept", ref("given"))]}
+    d.add(d.decl("FunctionDecl", "main", [build, call("kept", object_), local, through("lv"), notbound, through("nb")]))
+    rules = spark.createDataFrame([("r", "reg", 1)], "rule string, callee string, argument_index long")
+    units = spark.createDataFrame([(d.unit, d.text())], "unit string, text string")
+    return extract(ast_nodes(units), Project("/p", ["/p/src"], exporting_units=[d.unit], arguments=["-O2"]), rules)
+
+
+def test_patterns_and_implicit_functions_are_not_defined(corners):
+    found = {r.name: r for r in corners.symbols.collect()}
+    assert not found["pattern"].defined and "implicit" not in found and found["kept"].defined
+    assert found["outofline"].qualified_name == "ns::C::outofline" and found["outofline"].class_name == "ns::C"
+
+
+def test_corner_roots(corners):
+    n = names(corners)
+    roots = {(n[r.symbol], r.kind) for r in corners.roots.collect()}
+    assert ("fromhere", "global_initializer") in roots and ("reg", "global_initializer") in roots and ("registered", "callback_registration") in roots
+    assert ("fromheader", "global_initializer") not in roots
+    public = {name for name, kind in roots if kind == "public_api"}
+    assert {"kept", "main"} <= public and not public & {"hidden", "secret"}
+
+
+def test_corner_escapes_and_calls(corners):
+    n = names(corners)
+    escapes = {(n[r.symbol], r.kind, r.evidence.reason) for r in corners.escapes.collect()}
+    assert ("stored", "callable_object", "kept in a std::function") in escapes and ("op", "callable_object", "passed as a callable argument") in escapes
+    edges = {(n[r.src], n[r.dst]) for r in corners.edges.collect()}
+    # A variable that holds a call's result isn't bound to the call's arguments; one that holds a lambda calls it.
+    assert ("main", "l") in edges and ("main", "given") not in edges and ("l", "kept") in edges
+
+
 def test_dump_files(spark, tmp_path):
     d = Dump("/p/a.cpp")
     d.add(d.decl("FunctionDecl", "main"))

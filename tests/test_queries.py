@@ -8,7 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from reachlake.plans.queries import QUERIES
+from reachlake.plans.input_queries import QUERIES as INPUTS
+from reachlake.plans.queries import QUERIES as CORE
+
+QUERIES = CORE | INPUTS
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -49,5 +52,5 @@ def test_without_the_text_part(tmp_path):
         if item not in ("llm", "__pycache__"):
             os.symlink(f"{root}/reachlake/{item}", tmp_path / "reachlake" / item)
     os.symlink(f"{root}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
-    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 40 and set(q) == set(s) and not any(n.startswith('op') for n in q)"
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(q) == set(s) and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
