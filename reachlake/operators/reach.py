@@ -3,7 +3,7 @@
 Full reachability follows every edge whose source has an indexed body; structural reachability leaves out what providers
 and registrations add. Both run in one loop: a row's `structural` says which kind of path reached it, and
 a symbol comes back to the frontier only when it is new or has become structural. A job takes HOPS hops, so
-long chains need few jobs; what a job finds is written beside the earlier finds, which are the visited set.
+long chains need few jobs; what a job finds is written beside the earlier finds, which are the visited set and become one table now and then.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from reachlake.schema import EDGE_KINDS, INDEXED_BODIES, PROVIDED, Facts
 from reachlake.storage import new_path, written
 
 HOPS = 4
+#: Tables of the visited set from which they are made one, so a turn doesn't read all earlier ones.
+MOST_PARTS = 8
 
 
 def adjacency(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,23 +40,28 @@ def reach(facts: Facts) -> DataFrame:
     frontier = best(facts.roots.select(F.col("symbol").alias("key"), (~F.col("kind").isin(*PROVIDED)).alias("structural")))
     schema, turn = frontier.schema, 0
     frontier.write.parquet(f"{base}/turn={turn}")
+    parts = [f"{base}/turn={turn}"]
     while True:
         frontier = spark.read.schema(schema).parquet(f"{base}/turn={turn}")
         steps = [frontier]
         for _ in range(HOPS):
             last = steps[-1]
             steps.append(best(edges.join(last.withColumnsRenamed({"key": "src", "structural": "so_far"}), "src").select(F.col("dst").alias("key"), (F.col("structural") & F.col("so_far")).alias("structural"))))
-        visited = best(spark.read.schema(schema).parquet(*[f"{base}/turn={i}" for i in range(turn + 1)])).withColumnRenamed("structural", "known")
+        visited = best(spark.read.schema(schema).parquet(*parts)).withColumnRenamed("structural", "known")
         found = best(reduce(DataFrame.unionAll, steps[1:])).join(visited, "key", "left").filter("known is null or (structural and not known)").select("key", "structural")
         turn += 1
         found.write.parquet(f"{base}/turn={turn}")
         if spark.read.schema(schema).parquet(f"{base}/turn={turn}").isEmpty():
-            return best(spark.read.schema(schema).parquet(*[f"{base}/turn={i}" for i in range(turn)]))
+            return best(spark.read.schema(schema).parquet(*parts))
+        parts.append(f"{base}/turn={turn}")
+        if len(parts) > MOST_PARTS:
+            best(spark.read.schema(schema).parquet(*parts)).write.parquet(f"{base}/visited={turn}")
+            parts = [f"{base}/visited={turn}"]
 
 
-def with_reach(facts: Facts) -> DataFrame:
-    """The symbols with reachable, structurally_reachable and provider_reachable."""
-    got = reach(facts)
+def with_reach(facts: Facts, found: DataFrame | None = None) -> DataFrame:
+    """The symbols with reachable, structurally_reachable and provider_reachable; found is what reach gave for them, if that is known."""
+    got = reach(facts) if found is None else found
     joined = facts.symbols.join(got, "key", "left")
     return joined.withColumn("reachable", F.col("structural").isNotNull()).withColumn("structurally_reachable", F.coalesce("structural", F.lit(False))).withColumn("provider_reachable", F.coalesce(~F.col("structural"), F.lit(False))).drop("structural")
 

@@ -20,9 +20,25 @@ def named(df: DataFrame, *columns: str, **renamed: str) -> DataFrame:
     return df.select(*columns, *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
+#: What several queries of one application need of the same tables, by application, folder and name.
+SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make gives, written once per application and folder; the tables of a folder don't change while it runs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in SHARED:
+        SHARED[key] = written(make(), name)
+    return SHARED[key]
+
+
+def reach_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "reach", lambda: reach(tables.facts(spark, sf_dir)))
+
+
 def reached(spark: SparkSession, sf_dir: str) -> tuple[tables.Facts, DataFrame]:
     facts = tables.facts(spark, sf_dir)
-    return facts, with_reach(facts)
+    return facts, with_reach(facts, reach_of(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +47,14 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The unreachable definitions with their components, and the edges between them."""
-    facts, all_symbols = reached(spark, sf_dir)
-    candidates = written(unreachable(all_symbols), "candidates")
-    inner = written(components.induced(candidates, facts.edges), "induced")
-    return components.strong_components(candidates, inner), inner
+    candidates = lambda: shared(spark, sf_dir, "candidates", lambda: unreachable(reached(spark, sf_dir)[1]))
+    inner = shared(spark, sf_dir, "induced", lambda: components.induced(candidates(), tables.edges(spark, sf_dir)))
+    return shared(spark, sf_dir, "strong", lambda: components.strong_components(candidates(), inner)), inner
 
 
 def weak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, all_symbols = reached(spark, sf_dir)
-    candidates = written(unreachable(all_symbols), "candidates")
-    return candidates.join(components.weak_components(candidates, components.induced(candidates, facts.edges)), "key")
+    strong, _ = topology(spark, sf_dir)
+    return unreachable(reached(spark, sf_dir)[1]).join(strong.select("key", "component"), "key")
 
 
 def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +67,15 @@ def traversable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(tables.facts(spark, sf_dir)).select(F.col("key").alias("id"))
+    return reach_of(spark, sf_dir).select(F.col("key").alias("id"))
 
 
 def reachable_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(tables.facts(spark, sf_dir)).filter("structural").select(F.col("key").alias("id"))
+    return reach_of(spark, sf_dir).filter("structural").select(F.col("key").alias("id"))
 
 
 def provider_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(tables.facts(spark, sf_dir)).filter("not structural").select(F.col("key").alias("id"))
+    return reach_of(spark, sf_dir).filter("not structural").select(F.col("key").alias("id"))
 
 
 def unreachable_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +121,7 @@ def scc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def condensation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, inner = topology(spark, sf_dir)
-    return components.condensation(written(found, "scc"), inner)
+    return components.condensation(found, inner)
 
 
 def component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
