@@ -80,4 +80,18 @@ with d as (select doc_id, regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g'
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(body) as text_sha256
 from d window w as (partition by body)"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS}
+#: Every 100-byte string of every text, in hexadecimal, with its place; of equal ones all but the first are repeats.
+REPEATS = """
+with d as (select doc_id, encode(coalesce(text, '')) as body from documents),
+hexed as (select doc_id, hex(body) as h, octet_length(body)::bigint as n from d),
+strings as (select doc_id, p, substr(h, 2 * p + 1, 200) as v from (select doc_id, h, unnest(range(0, n - 99)) as p from hexed)),
+repeats as (select doc_id, p from (select doc_id, p, row_number() over (partition by v order by doc_id, p) as nth from strings) where nth > 1),
+opened as (select *, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as opens from repeats),
+numbered as (select *, sum(opens) over (partition by doc_id order by p) as run from opened),
+runs as (select doc_id, min(p) as s, max(p) + 100 as e from numbered group by doc_id, run),
+gaps as (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from runs),
+cut as (select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, max(e) as last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) as front from gaps join hexed using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from hexed left join cut using (doc_id)"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op8_suffix_dedup": REPEATS}
