@@ -14,7 +14,7 @@ from reachlake.operators import aggregate, classify, components, diff
 from reachlake.operators.merge import require_empty
 from reachlake.operators.reach import unreachable, with_reach
 from reachlake.schema import Facts
-from reachlake.sinks import documents
+from reachlake.sinks import documents, reports
 from reachlake.sinks.documents import Context, check_references
 from reachlake.storage import written
 
@@ -25,12 +25,18 @@ class IncompleteRun(Exception):
 
 @dataclass
 class Analysis:
+    """members has a row per finding: key, component, scc (numbers in order of place), disposition, class_name and place. component_table has a row per weak
+    component, condensation its edges (component, from_scc, to_scc), ownership a row per component, level and label. A component may hold any share of all
+    symbols, so its members and edges are rows and never a list in one."""
+
     facts: Facts
     reached: DataFrame
     findings: DataFrame
     strong: DataFrame
+    members: DataFrame
     condensation: DataFrame
     component_table: DataFrame
+    ownership: DataFrame
     metrics: dict[str, float]
 
     @property
@@ -47,13 +53,18 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.withColumn("file", place["location"]["file"]).withColumn("begin_line", F.when(same, place["begin"]["line"]).otherwise(0)).withColumn("end_line", F.when(same, place["end"]["line"]).otherwise(0))
 
 
+def require_indexed(units: DataFrame) -> None:
+    """Fails if a unit (file, status) was not indexed."""
+    try:
+        require_empty(units.filter("status <> 'indexed'").select("file", "status"), "translation units that were not indexed")
+    except ValueError as error:
+        raise IncompleteRun(str(error)) from error
+
+
 def analyze(facts: Facts, units: DataFrame | None = None) -> Analysis:
     """Everything a report needs. Fails before anything is written if units failed, facts refer to unknown symbols, or there is no root."""
     if units is not None:
-        try:
-            require_empty(units.filter("status <> 'indexed'").select("file", "status"), "translation units that were not indexed")
-        except ValueError as error:
-            raise IncompleteRun(str(error)) from error
+        require_indexed(units)
     check_references(facts)
     if facts.roots.isEmpty():
         raise IncompleteRun("no application root was found")
@@ -64,18 +75,25 @@ def analyze(facts: Facts, units: DataFrame | None = None) -> Analysis:
     candidates = unreachable(reached).select("key")
     inner = written(components.induced(candidates, facts.edges), "induced")
     strong = written(components.strong_components(candidates, inner), "strong")
-    rows = found.join(strong.select("key", "component"), "key")
-    table = aggregate.component_members(rows).join(aggregate.line_counts(rows, ["component"]).select("component", "lines", "unmeasured"), "component")
-    metrics = {"traversal_s": traversed - began, "components_s": time.time() - traversed}
-    return Analysis(facts, reached, found, strong, components.condensation(strong, inner), table, metrics)
+    place = F.coalesce("source.expansion", "source.spelling")["location"]["column"] if "source" in found.columns else F.lit(0)
+    own = found.select("key", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("begin_line", F.lit(0)).alias("line"), F.coalesce(place, F.lit(0)).alias("column"), "qualified_name", "signature")
+    ids = written(components.component_order(strong, own), "component_ids")
+    numbers = strong.select("key", "scc").join(ids, "scc").select("key", F.col("weak_id").alias("component"), F.col("scc_id").alias("scc"))
+    disposition = F.when(F.size("suppressions") > 0, "suppressed").otherwise("actionable").alias("disposition")
+    members = written(found.select("key", "class_name", "file", "begin_line", "end_line", disposition).join(numbers, "key"), "members")
+    # A strong component is counted where its first member is, so no set of them is held.
+    heads = members.groupBy("component", "scc").agg(F.count_if(F.col("disposition") == "actionable").alias("a"), F.count("*").alias("n"))
+    table = heads.groupBy("component").agg(F.count("*").alias("sccs"), F.sum("a").alias("actionable"), F.sum(F.col("n") - F.col("a")).alias("suppressed"))
+    table = table.join(aggregate.line_counts(members, ["component"]).select("component", "lines", "unmeasured"), "component")
+    ends = ids.select(F.col("scc").alias("src"), F.col("scc_id").alias("from_scc"), F.col("weak_id").alias("component"))
+    between = components.condensation(strong, inner).join(ends, "src").join(ids.select(F.col("scc").alias("dst"), F.col("scc_id").alias("to_scc")), "dst").select("component", "from_scc", "to_scc")
+    metrics = {"traversal_ms": 1000 * (traversed - began), "scc_ms": 1000 * (time.time() - traversed)}
+    return Analysis(facts, reached, found, strong, members, between, table, aggregate.ownership(members), metrics)
 
 
 def report(out: TextIO, analysis: Analysis, context: Context, form: str = "json", diagnostics: tuple[str, ...] = ()) -> None:
-    if form == "human":
-        documents.write_human_report(out, analysis.summary, analysis.findings, analysis.component_table, diagnostics)
-        return
-    provenance = classify.provider_provenance(analysis.facts, analysis.reached)
-    documents.write_report(out, analysis.facts, analysis.summary, analysis.findings, provenance, classify.public_api(analysis.facts), analysis.component_table, context, diagnostics)
+    write = reports.write_human_report if form == "human" else reports.write_report
+    write(out, analysis, context, diagnostics)
 
 
 def gate(out: TextIO, baseline: tuple[Facts, Context], current: tuple[Facts, Context], policy: diff.Policy, form: str = "json", project_root: str = "") -> int:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachlake.functions.keys import directory_key, path_contains
@@ -103,20 +104,24 @@ def fallback_notes(symbols: DataFrame) -> list[str]:
     return [f"fallback identity for {r.qualified_name}" for r in rows]
 
 
-def cancellable(spark, tag: str, seconds: float):
-    """Cancels what runs under a tag after some seconds; leaving the block ends the watch."""
-    import contextlib
-    import threading
+class cancellable:  # noqa: N801
+    """Cancels what runs under a tag after some seconds (0: never); leaving the block ends the watch."""
 
-    @contextlib.contextmanager
-    def watch():
-        spark.sparkContext.addJobTag(tag)
-        timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
-        timer.start()
-        try:
-            yield
-        finally:
-            timer.cancel()
-            spark.sparkContext.removeJobTag(tag)
+    def __init__(self, spark: SparkSession, tag: str, seconds: float) -> None:
+        self.context, self.tag, self.expired = spark.sparkContext, tag, False
+        self.timer = threading.Timer(seconds, self.cancel) if seconds else None
+
+    def cancel(self) -> None:
+        self.expired = True
+        self.context.cancelJobsWithTag(self.tag)
+
+    def __enter__(self) -> cancellable:
+        self.context.addJobTag(self.tag)
+        if self.timer:
+            self.timer.start()
+        return self
 
-    return watch()
+    def __exit__(self, *error: object) -> None:
+        if self.timer:
+            self.timer.cancel()
+        self.context.removeJobTag(self.tag)

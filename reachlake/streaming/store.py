@@ -7,7 +7,9 @@ stream, one micro-batch at a time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,15 @@ def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(sorted(set(paths))).select("path", F.sha2("content", 256).alias("digest"))
 
 
+def tool_fingerprint(*modules: ModuleType) -> str:
+    """A digest of the code that made the facts, so that facts of other code aren't reused."""
+    found = hashlib.sha256(STORE_VERSION.encode())
+    for m in sorted(modules, key=lambda m: m.__name__):
+        with open(m.__file__, "rb") as file:
+            found.update(m.__name__.encode() + hashlib.sha256(file.read()).digest())
+    return found.hexdigest()
+
+
 class FactStore:
     """Folders by fact table and run under one root; a run that isn't in the manifest doesn't exist."""
 

@@ -176,9 +176,37 @@ def test_analysis_documents(spark, reaching):
     assert document["summary"]["unreachable"] == 4 and [f["key"] for f in document["findings"]] == ["a", "b", "behind_opaque", "escaped"]
     s = document["summary"]
     assert s["defined"] == s["reachable"] + s["unreachable"] and s["reachable"] == s["structural"] + s["provider"] and s["unreachable"] == s["actionable"] + s["suppressed"]
+    members = {m["key"]: m for m in document["component_members"]}
+    assert members["a"]["component"] == members["b"]["component"] and len({m["component"] for m in members.values()}) == len(document["unreachable_components"]) == 3
+    assert sum(c["sccs"] for c in document["unreachable_components"]) == len({m["scc"] for m in members.values()})
+    assert {f["key"]: (f["component"], f["scc"]) for f in document["findings"]} == {k: (m["component"], m["scc"]) for k, m in members.items()}
+    ends = {(e["from_scc"], e["to_scc"]) for e in document["component_edges"]}
+    assert ends <= {(x["scc"], y["scc"]) for x in members.values() for y in members.values() if x["component"] == y["component"]}
+    assert {r["symbol"] for r in document["roots"]} == {r.symbol for r in reaching.roots.collect()} and all(r["symbol_name"] for r in document["roots"])
     out = io.StringIO()
     analysis.report(out, found, Context(), "human")
-    assert "SUMMARY" in out.getvalue() and "COMPONENT a (2 members" in out.getvalue()
+    text = out.getvalue()
+    assert [x for x in text.split() if x in ("RUN", "SUMMARY", "ROOTS")] == ["RUN", "SUMMARY", "ROOTS"] and text.count("\nCOMPONENT ") == 3 and ": 2 actionable and 0 suppressed members" in text
+
+
+def test_report_sections(spark):
+    symbols = [symbol(n, cls="C" if n in ("f", "g") else "", file="/p/a.cpp", lines=(i * 10 + 1, i * 10 + 5)) for i, n in enumerate(("main", "api", "f", "g", "kept", "hidden"))]
+    evidence = ("t", "why")
+    facts = make_facts(spark, symbols, [("f", "g", "direct_call"), ("main", "kept", "provider")], [("main", "application_entry_point"), ("api", "public_api")], [("f", "main")])
+    hidden = spark.createDataFrame([("hidden", evidence)], facts.suppressions.schema)
+    found = analysis.analyze(facts.with_(suppressions=hidden))
+    out = io.StringIO()
+    analysis.report(out, found, Context(target_name="app", target_kind="executable", closure_targets=["app"]))
+    document = json.loads(out.getvalue())
+    assert [(o["level"], o["label"], o["members"], o["lines"]) for o in document["ownership"] if o["component"] == next(f["component"] for f in document["findings"] if f["key"] == "f")] == [("directory", "/p", 2, 10), ("file", "/p/a.cpp", 2, 10), ("type", "C", 2, 10)]
+    assert [f["evidence"][1]["from_symbol"] for f in document["findings"] if f["key"] == "f"] == ["ns::main"]
+    assert [p["symbol"] for p in document["public_api"]] == ["api"] and [(p["symbol"], p["from"]) for p in document["provider_reachable"]] == [("kept", "main")]
+    assert [s["key"] for s in document["suppressed"]] == ["hidden"] and len(document["component_edges"]) == 1
+    out = io.StringIO()
+    analysis.report(out, found, Context(target_name="app", target_kind="executable", closure_targets=["app"]), "human")
+    text = out.getvalue()
+    places = [text.index(x) for x in ("TARGET app", "SUMMARY", "ROOTS", "PUBLIC API", "PROVIDER-REACHABLE", "COMPONENT", "SUPPRESSED")]
+    assert places == sorted(places) and text.count("\nCOMPONENT") == 1 and "  type C: 2 symbols, about 10 lines" in text and "suppressed by t: why" in text and "from ns::main" in text
 
 
 def test_incomplete_runs(spark, aggregating, reaching):

@@ -87,6 +87,46 @@ def test_program(spark, tmp_path):
         options([*base, "--format", "sarif"])
 
 
+def test_program_of_a_target(spark, tmp_path, capsys):
+    for name, inner in (("app", [call("used")]), ("used", []), ("other", [])):
+        d = Dump(f"/p/{name}.cpp")
+        d.add(d.decl("FunctionDecl", "used", body=name == "used", file="/p/used.cpp"), d.decl("FunctionDecl", f"idle_{name}"), *([d.decl("FunctionDecl", "main", inner)] if name == "app" else []))
+        (tmp_path / "dumps/p").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"dumps/p/{name}.cpp.json").write_text(d.text())
+    names = ("app", "used", "other")
+    (tmp_path / "commands.json").write_text(json.dumps([{"directory": "/p", "file": f"{n}.cpp", "command": f"g++ -c {n}.cpp"} for n in names]))
+    targets = [{"id": n, "name": n, "type": "executable" if n != "used" else "object_library", "sources": [f"{n}.cpp"], "dependencies": ["used"] if n == "app" else []} for n in names]
+    (tmp_path / "targets.json").write_text(json.dumps({"schema_version": 1, "source_root": "/p", "build_root": "/b", "configurations": [{"name": "Debug", "targets": targets}]}))
+    base = ["--dump-root", str(tmp_path / "dumps"), "--compile-commands", str(tmp_path / "commands.json"), "--format", "json", "--output", str(tmp_path / "out.json"), "--verbose"]
+    one = [*base, "--target-manifest", str(tmp_path / "targets.json"), "--target", "app", "--cache-dir", str(tmp_path / "cache")]
+    expected = ["idle_app", "idle_used"]
+    for reused in (0, 2):
+        assert run(spark, options(one)) == 0
+        out = json.loads((tmp_path / "out.json").read_text())
+        assert sorted(f["qualified_name"] for f in out["findings"]) == expected and out["mode"] == "target"
+        assert out["analysis_context"]["closure_targets"] == ["app", "used"] and out["analysis_context"]["configuration_id"] == "Debug"
+        assert f"translation_units=2 indexed_units={2 - reused} reused_units={reused} " in capsys.readouterr().err
+    every = [*base, "--project-root", "/p"]
+    assert run(spark, options([*every, "--ast-filter", "idle", "--root", "idle_app"])) == 0
+    out = json.loads((tmp_path / "out.json").read_text())
+    assert sorted(f["qualified_name"] for f in out["findings"]) == ["idle_other", "idle_used"] and "idle" in out["diagnostics"][0]
+    assert run(spark, options([*every, "--tu-root", "/elsewhere"])) == 1
+    assert run(spark, options([*every, "--frontend", "libtooling"])) == 1
+    assert json.loads((tmp_path / "out.json").read_text())["run"]["state"] == "unsupported"
+    (tmp_path / "dumps/p/used.cpp.json").unlink()
+    assert run(spark, options(one[:-2])) == 1
+    assert "used.cpp" in json.loads((tmp_path / "out.json").read_text())["run"]["cause"]
+    for wrong in (["--target", "app"], ["--tu-root", "/p"], ["--no-cache", "--cache-dir", "x"]):
+        with pytest.raises(SystemExit):
+            options(["a.json", "--project-root", "/p", *wrong])
+
+
+def test_cancellation(spark):
+    with selection.cancellable(spark, "slow", 1) as watch, pytest.raises(Exception, match="(?i)cancel"):
+        spark.range(10**13).selectExpr("sum(hash(id))").collect()
+    assert watch.expired
+
+
 def test_diagnostics_and_configurations_have_no_limit(spark):
     from pyspark.sql import functions as F
 
