@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reachlake.llm.lm import ADD, DISCOUNT, FOLDS
 from reachlake.llm.quality import DELTA, GRID, RISK, RULES, SYMBOLS
 from reachlake.llm.secrets import BOUNDS, WINDOW
 
@@ -94,4 +95,36 @@ cut as (select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, max
 select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from hexed left join cut using (doc_id)"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op8_suffix_dedup": REPEATS}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def arc(count: str, seen: str, excess: str, shorter: str) -> str:
+    """A discounted probability with its backoff; without the history in training, the shorter one."""
+    return f"""case when coalesce({seen}, 0) = 0 then {shorter} else greatest(coalesce({count}, 0) - {DISCOUNT}, 0.0)::double / {seen}
+      + greatest(1e-9, {DISCOUNT}::double * ({seen} - coalesce({excess}, 0)) / {seen}) * ({shorter}) end"""
+
+
+#: crc32 byte by byte over a table of 256 remainders; then counts of n-grams and the backoff model in joins.
+SCORES = rf"""
+with table256 as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) order by i) as t from range(256) r(i)),
+docs as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)),
+         lambda h, b: xor(t[(xor(h, b) & 255) + 1], h >> 8)), 4294967295) % {FOLDS} = 0 as held_out, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as body from documents, table256),
+split as (select doc_id, held_out, list_append(list_filter(string_split_regex(body, '{SPACE}'), lambda x: x <> ''), ' ') as w from docs),
+tokens as (select doc_id, held_out, i, w[i] as w3, case when i > 1 then w[i - 1] end as w2, case when i > 2 then w[i - 2] end as w1 from (select *, unnest(range(1, len(w) + 1)) as i from split)),
+trained as (select * from tokens where not held_out),
+one as (select w3, count(*) as c from trained group by w3),
+two as (select w2, w3, count(*) as c from trained where w2 is not null group by w2, w3),
+three as (select w1, w2, w3, count(*) as c from trained where w1 is not null group by w1, w2, w3),
+after_one as (select w2, sum(c - 1)::bigint as x from two group by w2),
+after_two as (select w1, w2, sum(c - 1)::bigint as x from three group by w1, w2),
+totals as (select coalesce(sum(c), 0)::bigint as n, coalesce(sum(c), 0) + {ADD}::double * (count(*) + 1) as scale from one),
+met as (
+  select t.*, o.c as c3, h.c as c2, b.c as c23, g.c as c12, d.c as c123, a1.x as x2, a2.x as x12, (coalesce(o.c, 0) + {ADD}::double) / scale as p1, n
+  from tokens t cross join totals left join one o on o.w3 = t.w3 left join one h on h.w3 = t.w2 left join two b on b.w2 = t.w2 and b.w3 = t.w3 left join two g on g.w2 = t.w1 and g.w3 = t.w2
+  left join three d on d.w1 = t.w1 and d.w2 = t.w2 and d.w3 = t.w3 left join after_one a1 on a1.w2 = t.w2 left join after_two a2 on a2.w1 = t.w1 and a2.w2 = t.w2),
+paired as (select *, {arc("c23", "c2", "x2", "p1")} as p2 from met),
+scored as (select *, {arc("c123", "c12", "x12", "p2")} as p3 from paired)
+select doc_id, held_out, count(*) as n_tokens, count(c3) as n_known, any_value(n) as train_tokens, round(fsum(log10(p1)), 7) as base_score, round(fsum(log10(p3)), 7) as score from scored group by doc_id, held_out"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op8_suffix_dedup": REPEATS, "op10_lm_scores": SCORES}

@@ -61,7 +61,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    """Scores to seven decimals: further ones show the order in which a text's logarithms were added."""
+    found = lm_scores(documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 7) for c in ("base_score", "score")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
