@@ -5,6 +5,7 @@ from __future__ import annotations
 from reachlake.llm.lm import ADD, DISCOUNT, FOLDS
 from reachlake.llm.quality import DELTA, GRID, RISK, RULES, SYMBOLS
 from reachlake.llm.secrets import BOUNDS, WINDOW
+from reachlake.llm.simhash import RADIUS, SEED, SHINGLE
 
 SPACE = r"[\x20\x09-\x0D]+"
 QUOTE = r"""[\"'']?"""
@@ -127,4 +128,63 @@ paired as (select *, {arc("c23", "c2", "x2", "p1")} as p2 from met),
 scored as (select *, {arc("c123", "c12", "x12", "p2")} as p3 from paired)
 select doc_id, held_out, count(*) as n_tokens, count(c3) as n_known, any_value(n) as train_tokens, round(fsum(log10(p1)), 7) as base_score, round(fsum(log10(p3)), 7) as score from scored group by doc_id, held_out"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op8_suffix_dedup": REPEATS, "op10_lm_scores": SCORES}
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+WORD = 1 << 64
+
+
+def times(a: str, b: int) -> str:
+    """A product modulo 2^64, of 128-bit unsigned numbers."""
+    return f"((({a}) * {b}::uhugeint) % {WORD}::uhugeint)"
+
+
+def turned(a: str, bits: int) -> str:
+    return f"((({a}) * {1 << bits}::uhugeint) % {WORD}::uhugeint + ({a}) // {1 << 64 - bits}::uhugeint)"
+
+
+def plus(a: str, b: str) -> str:
+    return f"((({a}) + ({b})) % {WORD}::uhugeint)"
+
+
+def mixed_in(a: str, lane: str) -> str:
+    return times(turned(plus(a, times(lane, P2)), 31), P1)
+
+
+def little(h: str, at: str, size: int) -> str:
+    """The number that size bytes of a hexadecimal text spell, the lowest first."""
+    return "('0x' || " + " || ".join(f"substr({h}, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(size))) + ")::ubigint::uhugeint"
+
+
+def merged(h: str, a: str) -> str:
+    return plus(times(f"xor({h}, {mixed_in('0::uhugeint', a)})", P1), f"{P4}::uhugeint")
+
+
+STARTS = [(SEED + P1 + P2) % WORD, (SEED + P2) % WORD, SEED, (SEED - P1) % WORD]
+STRIPES = ", ".join(f"list_reduce(list_prepend({start}::uhugeint, [lanes[4 * j + {k + 1}] for j in range(n // 32)]), lambda a, x: {mixed_in('a', 'x')}) as v{k}" for k, start in enumerate(STARTS))
+
+#: XXH64 of each distinct shingle in steps of its definition, the majority of each bit, and the closure of the links.
+NEAR = rf"""
+with recursive docs as (select doc_id, row_number() over () as r, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACE}'), lambda x: x <> '') as w from documents),
+shingles as (select r, case when len(w) < {SHINGLE} then array_to_string(w, ' ') else array_to_string(w[i : i + {SHINGLE - 1}], ' ') end as v from (select r, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as i from docs where len(w) > 0)),
+texts as materialized (select v, hex(encode(v)) as h, octet_length(encode(v))::bigint as n from (select distinct v from shingles)),
+laned as (select *, [{little("h", "8 * j", 8)} for j in range(n // 8)] as lanes from texts),
+striped as (select *, {STRIPES} from laned),
+summed as (select *, {plus(plus(turned("v0", 1), turned("v1", 7)), plus(turned("v2", 12), turned("v3", 18)))} as s from striped),
+merged0 as (select *, {merged("s", "v0")} as m from summed), merged1 as (select * exclude (m), {merged("m", "v1")} as m from merged0),
+merged2 as (select * exclude (m), {merged("m", "v2")} as m from merged1), merged3 as (select * exclude (m), {merged("m", "v3")} as m from merged2),
+begun as (select v, h, n, lanes, {plus("case when n >= 32 then m else " + str((SEED + P5) % WORD) + "::uhugeint end", "n::uhugeint")} as m from merged3),
+eights as (select v, h, n, list_reduce(list_prepend(m, lanes[4 * (n // 32) + 1 :]), lambda a, x: {plus(times(turned(f"xor(a, {mixed_in('0::uhugeint', 'x')})", 27), P1), f"{P4}::uhugeint")}) as m from begun),
+fours as (select v, h, n, case when n % 8 >= 4 then {plus(times(turned(f"xor(m, {times(little('h', '8 * (n // 8)', 4), P1)})", 23), P2), f"{P3}::uhugeint")} else m end as m from eights),
+singles as (select v, list_reduce(list_prepend(m, [{little("h", "4 * (n // 4) + j", 1)} for j in range(n % 4)]), lambda a, x: {times(turned(f"xor(a, {times('x', P5)})", 11), P1)}) as m from fours),
+first_mix as (select v, {times(f"xor(m, m // {1 << 33}::uhugeint)", P2)} as m from singles), second_mix as (select v, {times(f"xor(m, m // {1 << 29}::uhugeint)", P3)} as m from first_mix),
+hashes as materialized (select v, xor(m, m // {1 << 32}::uhugeint)::ubigint as m from second_mix),
+bits as (select r, b, sum((m >> b) & 1) as ones, count(*) as n from shingles join hashes using (v) cross join range(64) bit(b) group by r, b),
+prints as (select r, sum(case when 2 * ones > n then (2::hugeint ** b)::hugeint else 0 end)::ubigint as fp from (select r, b::hugeint as b, ones, n from bits) group by r),
+rows as materialized (select doc_id, coalesce(fp, 0)::ubigint as fp from docs left join prints using (r)),
+fps as materialized (select fp, min(doc_id) as first from rows group by fp),
+links as materialized (select a.fp as a, b.fp as b from fps a join fps b on bit_count(xor(a.fp, b.fp)::bit) <= {RADIUS}),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+names as (select a as fp, min(first) as component_id from reach join fps on fps.fp = reach.b group by a)
+select doc_id, lower(lpad(to_hex(fp), 16, '0')) as fingerprint, component_id from rows join names using (fp)"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op4_simhash_dedup": NEAR, "op8_suffix_dedup": REPEATS, "op10_lm_scores": SCORES}
