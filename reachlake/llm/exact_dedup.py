@@ -46,18 +46,17 @@ def digit(text: Column, offset: int, width: int) -> Column:
 
 
 def split_groups(active: DataFrame, offset: int, width: int) -> DataFrame:
-    """One radix round: each row with its digit, and with its group's count, row that stays and new group id if it isn't alone."""
+    """One radix round: each row with its digit, and with its group's count, smallest id and new group id if it isn't alone."""
     keyed = active.withColumn("digit", digit(whole("doc.text"), offset, width))
-    least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))
-    groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("n"), least.alias("least"), F.min("row").alias("next_gid")).filter("n > 1")
-    groups = groups.select("gid", "digit", F.struct("n", "least.id", "least.row", "next_gid").alias("group"))
+    groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.min("id").alias("keep_id"), F.min("row").alias("next_gid")).filter("n > 1")
+    groups = groups.select("gid", "digit", F.struct("n", "keep_id", "next_gid").alias("group"))
     # At most one in `share` of the rows each: there are no more than share of them.
     share = min(MOST_HOT, HOT_BYTES // width)
     large = F.col("group.n") * share >= active.count()
     hot, rest = groups.filter(large).withColumnRenamed("group", "hot"), groups.filter(~large).select(F.col("gid").alias("key"), "digit", "group")
     spread = keyed.join(F.broadcast(hot), ["gid", "digit"], "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("gid")).otherwise(-1 - F.col("row")))
     found = F.coalesce("hot", "group")
-    return spread.join(rest, ["key", "digit"], "left").withColumns({"n": found["n"], "keep_id": found["id"], "keep_row": found["row"], "next_gid": found["next_gid"]})
+    return spread.join(rest, ["key", "digit"], "left").withColumns({x: found[x] for x in ("n", "keep_id", "next_gid")})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = False, digest: bool = True) -> DataFrame:
@@ -73,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sha = F.sha2(normalised(whole("doc.text")).cast("binary"), 256) if digest else F.lit(None).cast("string")
         step = split_groups(active, offset, width).select(
             "id", "row", F.coalesce("next_gid", "row").alias("gid"), F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            (F.col("n").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"), done.alias("done"), F.when(done, sha).alias("sha"), (F.col("doc") if payload else F.when(~done, F.col("doc"))).alias("doc"),
+            done.alias("done"), F.when(done, sha).alias("sha"), (F.col("doc") if payload else F.when(~done, F.col("doc"))).alias("doc"),
         )
         step = written(step, "radix")
         parts.append(step.filter("done"))
@@ -82,12 +81,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         offset, width = offset + width, width * GROWTH
     settled = reduce(DataFrame.unionAll, parts)
+    alone, groups = settled.filter("n = 1"), settled.filter("n > 1")
+    # Of rows that share the smallest id one stays; it is told by its own number, so that a hot group is no key.
+    first = groups.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("gid").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    both = alone.withColumn("kept", F.lit(True)).unionByName(groups.join(first, "row", "left").withColumn("kept", F.coalesce("first", F.lit(False))).drop("first"))
     out = [F.col("id").alias(id_col), "keep_id", F.col("n").cast("long").alias("group_size"), "kept"]
     if digest:
         out.append(F.col("sha").alias("text_sha256"))
     if payload:
         out.append(F.struct(*[(F.col("doc.text") if c == text_col else F.col(f"doc.rest.`{c}`")).alias(c) for c in docs.columns]).alias("doc"))
-    return settled.select(*out)
+    return both.select(*out)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
