@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from reachlake.llm.lm import ADD, DISCOUNT, FOLDS
+from reachlake.llm.prefix_trie import STEM, TURNS
 from reachlake.llm.quality import DELTA, GRID, RISK, RULES, SYMBOLS
+from reachlake.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SCALE
+from reachlake.llm.resampling import SEED as SEED11
 from reachlake.llm.secrets import BOUNDS, WINDOW
 from reachlake.llm.simhash import RADIUS, SEED, SHINGLE
 
@@ -128,6 +131,51 @@ paired as (select *, {arc("c23", "c2", "x2", "p1")} as p2 from met),
 scored as (select *, {arc("c123", "c12", "x12", "p2")} as p3 from paired)
 select doc_id, held_out, count(*) as n_tokens, count(c3) as n_known, any_value(n) as train_tokens, round(fsum(log10(p1)), 7) as base_score, round(fsum(log10(p3)), 7) as score from scored group by doc_id, held_out"""
 
+#: crc32 of the bytes of each distinct run of words, counts by bucket, and the draw.
+RESAMPLED = rf"""
+with table256 as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) order by i) as t from range(256) r(i)),
+texts as (select 's' as side, row_number() over () as r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as body from documents union all select 't', row_number() over (), null, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') from benchmark),
+split as (select *, regexp_extract_all(body, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+runs as (select side, r, unnest(w) as v from split union all select side, r, w[i] || ' ' || w[i + 1] from (select side, r, w, unnest(range(1, len(w))) as i from split)),
+counted as materialized (select side, r, v, count(*) as c from runs group by all),
+coded as (select v, hex(encode(v)) as h, octet_length(encode(v)) as n from (select distinct v from counted)),
+hashed as materialized (
+  select v, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(h, 2 * j + 1, 2))::bigint for j in range(n)]), lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % {BUCKETS} as bucket from coded, table256),
+buckets as (select bucket, coalesce(sum(c) filter (where side = 's'), 0) as s, coalesce(sum(c) filter (where side = 't'), 0) as t from counted join hashed using (v) group by bucket),
+totals as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from buckets),
+gains as (select bucket, floor({SCALE} * ln((t + 1)::double * (s_all + {BUCKETS}) / ((s + 1)::double * (t_all + {BUCKETS}))))::bigint as gain from buckets, totals),
+sums as (select r, sum(c)::bigint as n, sum(c * gain)::hugeint as total from counted join hashed using (v) join gains using (bucket) where side = 's' group by r),
+weighed as (
+  select doc_id, split.r, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(floor(total::double / n), 0)::bigint as weight, ('0x' || substr(sha256('{SEED11}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from split left join sums using (r) where side = 's'),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from weighed),
+ranked as (select *, row_number() over (partition by n_words >= {LEAST_WORDS} order by score desc, doc_id, r) as place, (select {PERCENT} * count(*) // 100 from scored where n_words >= {LEAST_WORDS}) as drawn from scored)
+select doc_id, n_features, weight, score, case when n_words >= {LEAST_WORDS} and place <= drawn then place end as rank from ranked"""
+
+#: The trie by its definition: every node's subtree is the nodes whose sequences start with its own.
+TRIE = rf"""
+with table256 as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) order by i) as t from range(256) r(i)),
+turns as (
+  select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as name, octet_length(encode(coalesce(text, ''))) as bytes,
+         row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as place from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - ((conv_id % {STEM} + {STEM}) % {STEM}) as stem,
+         xor(list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(conv_id::varchar, ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda h, b: xor(t[(xor(h, b) & 255) + 1], h >> 8)), 4294967295) % {TURNS} as shared
+  from (select distinct conv_id from turns), table256),
+members as (
+  select c.conv_id, false as own, t.place, t.name, t.bytes from convs c join turns t on t.conv_id = c.stem and t.place <= c.shared
+  union all select c.conv_id, true, t.place, t.name, t.bytes from convs c join turns t on t.conv_id = c.conv_id and t.place > c.shared),
+placed as (select conv_id, name, bytes, row_number() over (partition by conv_id order by own, place) as depth from members),
+lists as (select c.conv_id, coalesce(list(name order by depth) filter (where name is not null), []) as names, coalesce(list(bytes order by depth) filter (where name is not null), []) as sizes from convs c left join placed p using (conv_id) group by c.conv_id),
+paths as (select conv_id, names, sizes, unnest(range(0, len(names) + 1)) as depth from lists),
+keyed as (select conv_id, depth, array_to_string(names[:depth], '') as name, array_to_string(names[:depth - 1], '') as up, case when depth > 0 then sizes[depth] else 0 end as bytes, depth = len(names) as ends from paths),
+nodes as materialized (
+  select depth, name, any_value(up) as up, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from keyed group by depth, name),
+children as (select up, depth - 1 as depth, count(*) as n from nodes where depth > 0 group by all),
+wide as (select n.*, p.conv_id as parent_conv_id, coalesce(c.n, 0) as n_children from nodes n left join nodes p on p.depth = n.depth - 1 and p.name = n.up left join children c on c.depth = n.depth and c.up = n.name)
+select u.conv_id, u.depth, any_value(u.parent_conv_id) as parent_conv_id, any_value(u.n_convs) as n_convs, any_value(u.n_children) as n_children, count(*) filter (where v.n_children = 0) as n_leaves, sum((v.n_convs - 1) * v.bytes)::bigint as saved_tokens,
+       any_value(u.ends_sha256) as ends_sha256
+from wide u join wide v on v.depth >= u.depth and substr(v.name, 1, 64 * u.depth) = u.name group by u.conv_id, u.depth"""
+
 # The primes of XXH64.
 P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 WORD = 1 << 64
@@ -187,4 +235,4 @@ reach as (select a, b from links union select reach.a, links.b from reach join l
 names as (select a as fp, min(first) as component_id from reach join fps on fps.fp = reach.b group by a)
 select doc_id, lower(lpad(to_hex(fp), 16, '0')) as fingerprint, component_id from rows join names using (fp)"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op4_simhash_dedup": NEAR, "op8_suffix_dedup": REPEATS, "op10_lm_scores": SCORES}
+SQL: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_quality_rules": QUALITY, "op5_secret_scans": SECRETS, "op4_simhash_dedup": NEAR, "op8_suffix_dedup": REPEATS, "op10_lm_scores": SCORES, "op11_importance_resampling": RESAMPLED, "op13_prefix_trie": TRIE}

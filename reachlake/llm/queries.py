@@ -13,8 +13,11 @@ from reachlake.llm.exact_dedup import exact_dedup
 from reachlake.llm.lm import lm_scores
 from reachlake.llm.mixing import mixed_weights
 from reachlake.llm.oracle import SQL
+from reachlake.llm.packing import pack_sequences
 from reachlake.llm.pii import find_personal_data
+from reachlake.llm.prefix_trie import prefix_trie
 from reachlake.llm.quality import quality_verdicts
+from reachlake.llm.resampling import resample
 from reachlake.llm.secrets import scan_secrets
 from reachlake.llm.simhash import simhash_components
 from reachlake.llm.suffix_dedup import remove_repeats
@@ -66,6 +69,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 7) for c in ("base_score", "score")})
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_lm_scores": op10_lm_scores,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -13,13 +13,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     tables = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "benchmark", "conversations"):
         path = f"{SF}/{table}.parquet"
         tables.sql(f"create view {table} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     got, want = QUERIES[name](spark, SF), tables.sql(SQL[name])
