@@ -12,8 +12,8 @@ that end with a gap over a POOR-th of a sequence are taken apart, and their piec
 fewer shards in the next round, until one shard is left or a round settles less than half. Only numbers of pieces
 and their lengths are shuffled for that.
 
-Token ids are those of the tokenizers library. A space after anything but white space always starts a new match of the vocabulary's
-pattern, so texts are cut there and the parts looked up in a bounded cache of their ids' bytes; the library encodes what the cache lacks.
+Token ids are those of the tokenizers library. Texts are cut where the vocabulary's pattern always starts a new match and the parts looked up in bounded caches
+of their ids' bytes; the library encodes what the caches lack.
 
 Defined cases: a null text is an empty one, whose only token is the end. Rows that repeat an id, and null ids, are documents
 of their own. A document of exactly one sequence is one piece. An empty table gives an empty result. Other columns don't matter,
@@ -42,6 +42,9 @@ END_ID = 0
 SHARD, POOR = 1 << 13, 64
 #: Cached parts of texts, and the longest that is cached.
 CACHE_PARTS, CACHE_CHARS = 1 << 19, 64
+DIGITS = "0123456789"
+#: Marks of ASCII but for the apostrophe.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def vocabulary_path() -> str:
@@ -54,32 +57,56 @@ class Irregular(Exception):
     """A part that white space joins to the next one."""
 
 
-class Parts(dict):
-    """The bytes of the ids of a part of a text, as it stands after a space."""
+class Cache(dict):
+    """Texts' ids as bytes, in two generations: when the young one is full it becomes the old one, so what is frequent stays."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_PARTS:
+                self.old = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+class Parts:
+    """The ids of texts as little-endian unsigned 32-bit integers.
+
+    The vocabulary's pattern starts a new match at a space after anything but white space, at a line feed between two such characters and behind it, and where letters or digits end and
+    marks begin (but for apostrophes, which it joins to some letters). A text is cut at its spaces, and a part that wasn't seen before at the others."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.spaced, self.bare = Cache(lambda part: self.cut(part, self.spaced, " ")), Cache(lambda part: self.cut(part, self.bare, ""))
+        self.line_feed = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
+    def cut(self, part: str, own: Cache, lead: str) -> bytes:
+        """The ids of lead and a part that doesn't end in white space."""
         if not part or part[-1].isspace():
             raise Irregular
-        found = self.ids(" " + part)
-        if len(part) <= CACHE_CHARS:
-            if len(self) >= CACHE_PARTS:
-                self.clear()
-            self[part] = found
-        return found
+        first, feed, rest = part.partition("\n")
+        if feed and first and not first[-1].isspace() and not rest[0].isspace():
+            return own[first] + self.line_feed + self.bare[rest]
+        word = part.rstrip(MARKS)
+        if word and len(word) < len(part) and (word[-1].isalpha() or word[-1] in DIGITS) and "<|" not in part:
+            return own[word] + self.bare[part[len(word) :]]
+        return self.ids(lead + part)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
         first, *parts = text.split(" ")
         if first and not first[-1].isspace():
             try:
-                return b"".join([self.ids(first), *map(self.__getitem__, parts)])
+                return b"".join([self.bare[first], *map(self.spaced.__getitem__, parts)])
             except Irregular:
                 pass
         joined = [[first]]
@@ -90,8 +117,8 @@ class Parts(dict):
             else:
                 joined.append([part])
         head, *rest = [" ".join(x) for x in joined]
-        tail = [self.ids(" " + x) if not x or x[-1].isspace() else self[x] for x in rest[-1:]]
-        return b"".join([self.ids(head) if head else b"", *map(self.__getitem__, rest[:-1]), *tail])
+        tail = [self.ids(" " + x) if not x or x[-1].isspace() else self.spaced[x] for x in rest[-1:]]
+        return b"".join([self.ids(head) if head else b"", *map(self.spaced.__getitem__, rest[:-1]), *tail])
 
 
 @lru_cache(maxsize=2)
