@@ -24,6 +24,13 @@ SQL: dict[str, str] = {
     "extracted_edges": f"with {USES} select * from called",
     "extracted_roots": f"with {USES} select * from started",
     "extracted_escapes": f"with {USES} select * from escaped",
+    "extracted_places": """with pairs as (select distinct l_suppkey as s, l_partkey as p, '/p/src/s' || l_suppkey || '.cpp' as unit, l_partkey % 5 as k from lineitem),
+        points as (select *, ':0:1:' || p || ':4' as unknown, case k when 3 then '/p/include/h.h' else unit end || ':' || (p + 1) || ':6:' || p || ':2' as loc, unit || ':' || (p + 1) || ':1:' || p as start from pairs)
+        select s, p, case when k = 4 then 'external_opaque' when k = 3 then 'indexed' else 'reportable' end as scope, k <> 4 as defined,
+               case k when 1 then '/p/include/m.h:7:3:100:3' when 4 then unknown else loc end as spelling_location,
+               case k when 1 then '/p/include/m.h:6:3:90:4' when 3 then loc when 4 then unknown else start || ':4' end as spelling_begin,
+               case k when 1 then '/p/include/m.h:8:3:140:1' when 0 then unit || ':' || (p + 3) || ':1:' || (p + 50) || ':1' when 3 then '/p/include/h.h:' || (p + 3) || ':1:' || (p + 50) || ':1' when 4 then unknown else start || ':4' end as spelling_end,
+               case when k = 1 then start || ':6' end as expansion_location, case when k = 1 then start || ':6' end as expansion_begin, case when k = 1 then start || ':6' end as expansion_end from points""",
     "artifact_round_trip": f"with {USES} select * from called",
     "type_spellings": f"""select p_partkey as id, {PLAIN} as plain,
         case when p_partkey % 3 = 2 or p_partkey % 5 = 0 then null else {PLAIN} end as owned from part""",
@@ -60,7 +67,8 @@ SQL: dict[str, str] = {
     "unit_keys": f"""with parts as (select s_suppkey as id, [['store', '{STORE_VERSION}'], ['arguments', s_name], ['configuration', 'debug'], ['file', '/p/src/s' || s_suppkey || '.cpp']] as p from supplier)
         select id, sha256(list_aggregate(list_transform(p, lambda x: strlen(x[1]) || ':' || x[1] || strlen(x[2]) || ':' || x[2]), 'string_agg', '')) as unit_key from parts""",
     "store_reuse": "select s_suppkey::varchar as unit, case when s_nationkey % 5 = 0 then 'second' else 'first' end as made from supplier",
-    "store_stream": "select p_brand as unit, count(*) as n from part group by p_brand",
+    "store_stream": """select p_brand as unit, case when right(p_brand, 1) in ('1', '2') then 'first stream again' when right(p_brand, 1) in ('3', '4') then 'second stream' else 'batch run' end as made, count(*) as n, count(distinct p_partkey) as n_keys
+        from part group by all""",
     "sarif_results": f"""{R}{DIFF}
         select d.id, 'reachlake.' || change || '.' || current_classification as rule, replace(s.file, '#', '%23') as uri from diffs d join symbols s on s.id = d.id
         where change in ('new_symbol', 'newly_unreachable') and not current_suppressed and current_classification in ('dead', 'likely_dead')""",

@@ -93,6 +93,37 @@ def extracted_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number(facts, facts.escapes.select("symbol", F.col("from").alias("by"), "kind"), symbol="id", by="from_id").distinct()
 
 
+def place_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, text): a dump per supplier, whose function f<supplier>_<part> stands, by its part's number: 0 in the unit; 1 in a macro, spelled in a header and expanded in the unit; 2 in
+    the unit, by a place that leaves out the file and has no end; 3 in a header; 4 in a header whose name is left out. A variable that stands in the unit comes before each, and calls it."""
+    pairs = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    s, p = F.col("s"), F.col("p")
+    unit = text("/p/src/s{}.cpp", s)
+    spelled = lambda offset, line, size: text('"spellingLoc":{"offset":{},"file":"/p/include/m.h","line":{},"col":3,"tokLen":{}}', *map(F.lit, (offset, line, size)))
+    expanded = text('"expansionLoc":{"offset":{},"file":"{}","line":{},"col":1,"tokLen":6}', p, unit, p + 1)
+    macro = lambda *x: F.concat(F.lit("{"), spelled(*x), F.lit(","), expanded, F.lit("}"))
+    end = text('{"offset":{},"line":{},"col":1,"tokLen":1}', p + 50, p + 3)
+    begin = text('{"offset":{},"col":1,"tokLen":4}', p)
+    place = F.when(p % 5 == 0, text('"loc":{"offset":{},"file":"{}","line":{},"col":6,"tokLen":2},"range":{"begin":{},"end":{}}', p, unit, p + 1, begin, end))
+    place = place.when(p % 5 == 1, text('"loc":{},"range":{"begin":{},"end":{}}', *(macro(*x) for x in ((100, 7, 3), (90, 6, 4), (140, 8, 1)))))
+    place = place.when(p % 5 == 2, text('"loc":{"offset":{},"line":{},"col":6,"tokLen":2},"range":{"begin":{}}', p, p + 1, begin))
+    place = place.when(p % 5 == 3, text('"loc":{"offset":{},"file":"/p/include/h.h","line":{},"col":6,"tokLen":2,"includedFrom":{"file":"{}"}},"range":{"end":{}}', p, p + 1, unit, end))
+    place = place.otherwise(text('"loc":{"offset":{},"line":{},"col":6,"tokLen":2,"includedFrom":{"file":"/p/include/h.h"}},"range":{"begin":{"offset":{},"col":1,"tokLen":4,"includedFrom":{"file":"/p/include/h.h"}}}', p, p + 1, p))
+    variable = text('{"kind":"VarDecl","id":"0xv{}","name":"v{}","loc":{"offset":0,"file":"{}","line":{},"col":1},"inner":[{"kind":"CallExpr","inner":[{"kind":"DeclRefExpr","referencedDecl":{"id":"0x{}","kind":"FunctionDecl"}}]}]}', p, p, unit, p, p)
+    node = text('{},{"id":"0x{}","kind":"FunctionDecl","name":"f","mangledName":"_Zf{}_{}","type":{"qualType":"void ()"},{},"inner":[{"kind":"CompoundStmt"}]}', variable, p, s, p, place)
+    units = pairs.select("s", "p", node.alias("node")).groupBy("s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "node"))), lambda x: x["node"]), ",").alias("nodes"))
+    return units.select(unit.alias("unit"), text('{"kind":"TranslationUnitDecl","id":"0x","loc":{},"range":{"begin":{},"end":{}},"inner":[{}]}', *[F.lit("{}")] * 3, F.col("nodes")).alias("text"))
+
+
+def extracted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where functions are spelled and expanded."""
+    facts = extract(ast_nodes(place_dumps(spark, sf_dir)), Project("/p", ["/p/src"]))
+    ids = F.split("identity.linkage_name", "[f_]")
+    shown = lambda track, point: F.concat_ws(":", *[F.col(f"source.{track}.{point}.{c}") for c in ("file", "line", "column", "offset", "token_length")]).alias(f"{track}_{point}")
+    places = [F.when(F.col(f"source.{t}").isNotNull(), shown(t, p)).alias(f"{t}_{p}") for t in ("spelling", "expansion") for p in ("location", "begin", "end")]
+    return facts.symbols.select(F.element_at(ids, -2).cast("long").alias("s"), F.element_at(ids, -1).cast("long").alias("p"), "scope", "defined", *places)
+
+
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracted facts, written as a graph artifact and read again with all its checks."""
     out = io.StringIO()
@@ -134,9 +165,13 @@ def compile_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda target: [F.array(F.lit("g++"), F.lit("-c"), F.lit("-o"), output(target), text("-DX={}", target), text("../src/s{}.cpp", key)).alias("arguments")]
     own = text("t{}", nation)
     pair = F.when(key % 2 == 0, F.concat(F.to_json(entry(F.lit("other"), shell)), F.lit(","), F.to_json(entry(own, shell)))).otherwise(F.concat(F.to_json(entry(F.lit("other"), words)), F.lit(","), F.to_json(entry(own, words))))
-    rows = tables.table(spark, sf_dir, "supplier").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, pair.alias("j")))), lambda x: x["j"]), ",").alias("all"))
+    # A line for each supplier, between the brackets; Spark writes the document in parts.
+    lines = tables.table(spark, sf_dir, "supplier").select(key.alias("nth"), pair.alias("value"))
+    last = lines.agg(F.max("nth")).first()[0]
+    body = lines.select("nth", F.when(F.col("nth") < last, F.concat("value", F.lit(","))).otherwise(F.col("value")).alias("value"))
+    ends = spark.range(2).select(F.when(F.col("id") == 0, -1).otherwise(last + 1).alias("nth"), F.when(F.col("id") == 0, "[").otherwise("]").alias("value"))
     path = new_path(spark, "database")
-    rows.select(text("[{}]", F.col("all")).alias("value")).coalesce(1).write.text(path)
+    body.unionByName(ends).orderBy("nth").select("value").write.text(path)
     return read_compile_commands(spark, path)
 
 
@@ -234,23 +269,37 @@ def store_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = FactStore(spark, new_path(spark, "store"))
     rows = lambda value, of: of.select("unit", F.lit(value).alias("made"))
     units = supplier.select(key, path, F.col("s_nationkey"))
-    store.publish(1, {"facts": rows("first", units)}, units.select("unit", "path", digest(F.col("s_nationkey")).alias("digest"), F.lit(True).alias("is_primary")))
+    store.publish({"facts": rows("first", units)}, units.select("unit", "path", digest(F.col("s_nationkey")).alias("digest"), F.lit(True).alias("is_primary")))
     current = nation.select(F.col("n_nationkey").cast("string").alias("path"), now.alias("digest"))
     again = units.join(store.valid_units(current), "unit", "left_anti")
-    store.publish(2, {"facts": rows("second", again)}, again.join(current, "path").select("unit", "path", "digest", F.lit(True).alias("is_primary")))
+    store.publish({"facts": rows("second", again)}, again.join(current, "path").select("unit", "path", "digest", F.lit(True).alias("is_primary")))
     return store.table("facts").select("unit", "made")
 
 
 def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of facts that arrive as a stream of files, one micro-batch each."""
-    source = new_path(spark, "arrivals")
-    rows = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("key"))
-    rows.repartition(3, "unit").write.parquet(source)
+    """A store that a batch run has filled with every brand, into which two streams of files bring brands by micro-batches: one those that end in 1 or 2 and the other those
+    that end in 3 or 4. Both count their batches from 0. The first is then read again from a new checkpoint, and once more from its old one, where nothing is new."""
+    parts = tables.table(spark, sf_dir, "part")
+    maker = F.expr("right(p_brand, 1)").cast("int")
+    rows = parts.select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("key"), maker.alias("maker"))
     store = FactStore(spark, new_path(spark, "store"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    split = lambda batch: ({"symbols": batch}, batch.select("unit", F.col("unit").alias("path"), F.sha2("unit", 256).alias("digest"), F.lit(True).alias("is_primary")).distinct())
-    ingest_stream(stream, store, split, new_path(spark, "progress")).awaitTermination()
-    return store.table("symbols").groupBy("unit").agg(F.count("*").alias("n"))
+
+    def split(made: str, batch: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+        return {"symbols": batch.withColumn("made", F.lit(made))}, batch.select("unit", F.col("unit").alias("path"), F.sha2("unit", 256).alias("digest"), F.lit(True).alias("is_primary")).distinct()
+
+    def ingest(made: str, source: str, checkpoint: str) -> None:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest_stream(stream, store, lambda batch: split(made, batch), checkpoint).awaitTermination()
+
+    store.publish(*split("batch run", rows))
+    sources, checkpoints = [new_path(spark, "arrivals") for _ in range(2)], [new_path(spark, "progress") for _ in range(3)]
+    for source, makers in zip(sources, ("maker in (1, 2)", "maker in (3, 4)"), strict=True):
+        rows.filter(makers).repartition(3, "unit").write.parquet(source)
+    ingest("first stream", sources[0], checkpoints[0])
+    ingest("second stream", sources[1], checkpoints[1])
+    ingest("first stream again", sources[0], checkpoints[2])
+    ingest("not read", sources[0], checkpoints[0])
+    return store.table("symbols").groupBy("unit", "made").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
 
 
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +316,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        extracted_symbols, extracted_edges, extracted_roots, extracted_escapes, artifact_round_trip, type_spellings, command_words, analysis_commands, compile_commands, manifest_sources, target_commands, depfile_dependencies, file_scopes,
+        extracted_symbols, extracted_edges, extracted_roots, extracted_escapes, extracted_places, artifact_round_trip, type_spellings, command_words, analysis_commands, compile_commands, manifest_sources, target_commands, depfile_dependencies, file_scopes,
         display_texts, fallback_identities, export_visibility, provider_facts, uri_paths, unit_keys, store_reuse, store_stream, sarif_results,
     )
 }

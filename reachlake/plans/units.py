@@ -65,9 +65,7 @@ def read_units(spark: SparkSession, paths: list[str], root: str = "", wanted: Da
     stale = dumps if valid is None else written(dumps.join(valid, "unit", "left_anti"), "stale")
     walked = stale.count()
     if walked:
-        newest = store.newest()
-        number = 1 if newest is None else newest.agg(F.max("run")).first()[0] + 1
         own = stale.select("unit", "path", "digest", F.lit(True).alias("is_primary"))
         tools = stale.select("unit", F.lit(TOOL).alias("path"), F.lit(tool).alias("digest"), F.lit(False).alias("is_primary"))
-        store.publish(number, {"nodes": walk(stale)}, own.union(tools))
+        store.publish({"nodes": walk(stale)}, own.union(tools))
     return Units(store.table("nodes").drop("run").join(dumps.select("unit"), "unit", "left_semi"), table, walked, total - walked, size)

@@ -6,7 +6,7 @@ import pytest
 
 from reachlake.operators.extract import Project, extract
 from reachlake.operators.reach import with_reach
-from reachlake.sources.ast import ast_nodes, read_ast_dumps
+from reachlake.sources.ast import ast_nodes, nodes_of, read_ast_dumps
 
 
 class Dump:
@@ -147,3 +147,49 @@ def test_dump_files(spark, tmp_path):
     assert [r.kind for r in nodes] == ["TranslationUnitDecl", "FunctionDecl", "CompoundStmt"] and nodes[0].last == 2 and nodes[2].owner == 1
     with pytest.raises(Exception, match="duplicate key"):
         ast_nodes(spark.createDataFrame([("u", '{"kind": "x", "kind": "y"}')], "unit string, text string")).collect()
+
+
+def places(*nodes, unit="/p/src/a.cpp"):
+    """The file and source of each function of a dump."""
+    found = nodes_of(unit, json.dumps({"kind": "TranslationUnitDecl", "loc": {}, "inner": list(nodes)}), "/p/build")
+    return {n["name"]: (n["file"], n["source"]) for n in found if n["source"]}
+
+
+def function(name, loc, inner=(), **bounds):
+    return {"kind": "FunctionDecl", "name": name, "loc": loc, "range": bounds, "inner": list(inner)}
+
+
+def test_places_leave_out_what_was_printed_before():
+    found = places(
+        function("a", {"offset": 3, "file": "../src/a.cpp", "line": 4, "col": 5, "tokLen": 1}, begin={"offset": 1, "col": 3, "tokLen": 2}, end={"offset": 9, "line": 6, "col": 1, "tokLen": 1}),
+        function("b", {"offset": 12, "col": 2}, begin={}, end={"offset": 20, "line": 8, "col": 1}),
+    )
+    file, source = found["a"]
+    assert file == "/p/src/a.cpp" and source["expansion"] is None
+    assert [source["spelling"][x]["line"] for x in ("location", "begin", "end")] == [4, 4, 6] and source["spelling"]["begin"]["file"] == file
+    # b has no line of its own: it is that of the end of a.
+    assert found["b"][0] == file and [found["b"][1]["spelling"][x]["line"] for x in ("location", "begin", "end")] == [6, 6, 8]
+
+
+def test_places_in_macros():
+    spelled = {"spellingLoc": {"offset": 7, "file": "/p/include/m.h", "line": 2, "col": 9, "tokLen": 4}, "expansionLoc": {"offset": 30, "file": "/p/src/a.cpp", "line": 11, "col": 1, "tokLen": 5, "isMacroArgExpansion": True}}
+    found = places(function("m", spelled, begin=spelled, end={"offset": 40, "line": 12, "col": 3, "tokLen": 1}), function("n", {"offset": 50, "line": 13, "col": 1}))
+    file, source = found["m"]
+    assert file == "/p/src/a.cpp" and source["spelling"]["location"] == {"file": "/p/include/m.h", "line": 2, "column": 9, "offset": 7, "token_length": 4}
+    assert source["expansion"]["location"]["line"] == source["expansion"]["begin"]["line"] == 11
+    # The end stands outside the macro, so its expansion is where the begin's is.
+    assert source["spelling"]["end"]["line"] == 12 and source["expansion"]["end"] == source["expansion"]["begin"]
+    assert found["n"][0] == "/p/src/a.cpp"
+    pasted = {"spellingLoc": {"offset": 1, "file": "<scratch space>", "line": 1, "col": 1}, "expansionLoc": {"offset": 60, "file": "/p/src/a.cpp", "line": 20, "col": 1}}
+    file, source = places(function("p", pasted))["p"]
+    assert file == "/p/src/a.cpp" and source["spelling"]["location"]["file"] == "" and source["expansion"]["location"]["line"] == 20
+
+
+def test_places_of_headers():
+    first, second = {"offset": 1, "file": "/usr/include/t.h", "line": 3, "col": 1, "includedFrom": {"file": "/p/src/a.cpp"}}, {"offset": 9, "line": 5, "col": 1, "includedFrom": {"file": "/p/src/a.cpp"}}
+    found = places(function("one", first), function("two", second), function("own", {"offset": 2, "file": "/p/src/a.cpp", "line": 1, "col": 1}), function("lost", second), function("inner", {}, begin={"offset": 4, "line": 2, "col": 1}))
+    assert {n: f for n, (f, _) in found.items()} == {"one": "/usr/include/t.h", "two": "/usr/include/t.h", "own": "/p/src/a.cpp", "lost": "", "inner": "/p/src/a.cpp"}
+    assert found["inner"][1]["spelling"]["location"] == found["inner"][1]["spelling"]["begin"]
+    # A node without a place stands where the one around it does.
+    nested = places({"kind": "NamespaceDecl", "name": "n", "loc": dict(first), "inner": [function("below", {"offset": 8, "file": "/p/src/a.cpp", "line": 9, "col": 1}), function("bare", {})]})
+    assert nested["bare"][0] == "/usr/include/t.h"

@@ -13,11 +13,17 @@ from tests.test_extract import Dump, call
 from tests.test_graphs import make_facts, symbol
 
 
+def build_of(spark, root, rows):
+    own = "configuration string, id string, "
+    kinds = {"targets": own + "name string, kind string", "sources": own + "path string", "dependencies": "configuration string, target string, dependency string, command string", "headers": own + "path string", "artifacts": own + "path string"}
+    return Build(root, **{name: spark.createDataFrame(rows[name], kind) for name, kind in kinds.items()})
+
+
 @pytest.fixture(scope="module")
 def build(spark):
     names = [("app", "executable"), ("core", "static_library"), ("objects", "object_library"), ("iface", "interface_library"), ("test", "executable"), ("plug", "module_library")]
     deps = [("app", "core", "target_link_libraries"), ("core", "objects", None), ("app", "test", "add_dependencies"), ("app", "iface", None), ("app", "gone", None)]
-    return Build(spark, "/s", {
+    return build_of(spark, "/s", {
         "targets": [("Debug", f"id-{n}", n, k) for n, k in names], "sources": [("Debug", f"id-{n}", f"/s/{n}.cpp") for n, _ in names if n != "iface"] + [("Debug", "id-app", "/s/shared.cpp")],
         "dependencies": [("Debug", f"id-{a}", f"id-{b}", c) for a, b, c in deps], "headers": [("Debug", "id-iface", "/s/iface.h")], "artifacts": [],
     })

@@ -1,13 +1,17 @@
 """Readers, policies, small text functions and the fact store."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from reachlake.functions import keys
 from reachlake.functions.text import callee_and_index, expand_responses, is_compiler, is_launcher, normalize_command, owned_element, split_shell, uri
+from reachlake.operators.scan import running_sums
 from reachlake.sources import builds, policies, strict
+from reachlake.sources.members import checked, object_members, parsed, pieces_of
 from reachlake.streaming.store import FactStore, file_digests, ingest_stream, unit_key
 from tests.test_graphs import make_facts, symbol
 
@@ -132,9 +136,82 @@ def test_compilation_database(spark, tmp_path):
     assert (rows[0].file, rows[0].arguments, rows[0].output) == (f"{tmp_path}/a.cpp", ["g++", "-c", "a b.cpp"], f"{tmp_path}/b/a.o") and rows[1].arguments == ["cc", "y.cpp"]
     done = builds.normalized_commands(builds.read_compile_commands(spark, str(tmp_path / "c.json"))).orderBy("index").collect()
     assert done[1].arguments == ["cc", "/x/y.cpp"]
-    for bad in ({}, [1], [{"directory": "/", "file": "a"}], [{"directory": "/", "file": "a", "command": " "}], [{"file": "a", "command": "g++"}]):
+
+
+GOOD = '{"directory": "/", "file": "a", "command": "g++"}'
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [
+        (f"[{GOOD},]", "no list"), (f"[{GOOD} {GOOD}]", "no JSON"), (f"[{GOOD}]]", "no list"), ('[{"directory": "/", "directory": "/", "file": "a", "command": "g++"}]', "repeats a key"), ("", "no list"),
+        ('[{"directory": "/", "file": "a\\ud800", "command": "g++"}]', "half a character"), ('[{"directory": "/", "file": "a\n", "command": "g++"}]', "isn't closed"),
+        # Entries that break one rule each, together.
+        ('[1, {"directory": "/", "file": "a"}, {"file": "a", "command": "g++"}, {"directory": "/", "file": ["a"], "command": "g++"}, {"directory": "/", "file": "a", "arguments": ["x", 1]}]', "(?s)(?=.*entry 0 must be an object)(?=.*entry 1.command)"),
+        ('[{"directory": "/", "file": "a", "command": " "}]', "empty command"),
+    ],
+)
+def test_bad_compilation_databases(spark, tmp_path, text, message):
+    (tmp_path / "c.json").write_text(text)
+    with pytest.raises(ValueError, match=message):
+        builds.read_compile_commands(spark, str(tmp_path / "c.json"))
+
+
+def test_compilation_databases_of_any_layout(spark, tmp_path):
+    """The same commands, whatever the lines that a document is laid out in, in one file or in several."""
+    entries = [{"directory": f"/d{i}", "file": f"f,[{i}]{{\"\\.cpp", "arguments": ["g++", "-DX=\U0001f600[", f"é{i}\\"], "output": ""} for i in range(40)]
+    want = [(f"/d{i}", f"/d{i}/f,[{i}]{{\"\\.cpp", "", ["g++", "-DX=\U0001f600[", f"é{i}\\"], i) for i in range(40)]
+    layouts = [json.dumps(entries), json.dumps(entries, indent=2, ensure_ascii=False), json.dumps(entries, indent=0).replace(",\n", "\n,\r\n"), "\n\n [" + ",".join(json.dumps(e, indent=1) for e in entries) + "\n]\n\n"]
+    for i, text in enumerate(layouts):
+        (tmp_path / f"{i}.json").write_text(text, newline="")
+        assert builds.read_compile_commands(spark, str(tmp_path / f"{i}.json")).orderBy("index").collect() == [Row(**dict(zip(("directory", "file", "output", "arguments", "index"), w, strict=True))) for w in want]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        (tmp_path / "parts").mkdir()
+        lines = layouts[1].split("\n")
+        for k in range(0, len(lines), 50):
+            (tmp_path / "parts" / f"part-{k:05}").write_text("\n".join(lines[k : k + 50]) + "\n")
+        rows = builds.read_compile_commands(spark, str(tmp_path / "parts"))
+        assert [tuple(r) for r in rows.orderBy("index").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "none.json").write_text(" [\n ] ")
+    assert builds.read_compile_commands(spark, str(tmp_path / "none.json")).isEmpty()
+
+
+@pytest.mark.parametrize(
+    ("line", "depth", "level", "shapes"),
+    [
+        ("[1, 2]", 0, 1, ["[v", "v]"]), ("{}", 0, 1, ["{}"]), ("[1]] x", 0, 1, ["[v]!v"]), ("x [1]", 0, 1, ["![v]"]), (",[1]", 0, 1, ["", "![v]"]), ('"a": {"b": [1, 2]}, "c": 3', 1, 2, [":{v}", ":v"]), ("1, 2], ", 2, 2, ["v", "v]", ""]),
+        ('{"a": [ ]}', 0, 2, ["{:[]}"]), ('"a": 5 []', 1, 2, [":v[]"]), ('"a": [1] 2', 1, 2, [":[v]v"]), ('"a":: 1', 1, 2, ["::v"]), ('"[{,:\\"": 1', 1, 2, [":v"]), ("{[1, 2], 3}, 4", 1, 1, ["v", "v"]),
+    ],
+)
+def test_shapes_of_pieces(line, depth, level, shapes):
+    assert [shape for *_, shape, _ in pieces_of(line, depth, level)] == shapes
+
+
+def test_members_of_an_object(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"a": 1, "b": [1, [2, 3],\n {"x": [4, 5]}],"\\u0063": {"y": {"z": 1}, "w": "}]"}, "d": [], "e": {}, "f": null}')
+    members, elements = object_members(spark, str(tmp_path / "o.json"))
+    assert {(r.key, r.container) for r in members.collect()} == {("a", ""), ("b", "["), ("c", "{"), ("d", "["), ("e", "{"), ("f", "")}
+    assert sorted((r.key, r["index"], r.text.strip()) for r in elements.collect()) == [("a", 0, "1"), ("b", 0, "1"), ("b", 1, "[2, 3]"), ("b", 2, '{"x": [4, 5]}'), ("c", 0, '"y": {"z": 1}'), ("c", 1, '"w": "}]"'), ("f", 0, "null")]
+    (tmp_path / "n.json").write_text("{ }")
+    assert [x.count() for x in object_members(spark, str(tmp_path / "n.json"))] == [0, 0]
+    for bad in ('{"a"}', '{"a": 1, "a": 2}', '{"a": 1 "b": 2}', '{a: 1}', '{"a": [1,,2]}'):
+        (tmp_path / "b.json").write_text(bad)
         with pytest.raises(ValueError):
-            builds.commands_of(json.dumps(bad), "/")
+            # What an element itself must be is told where it is parsed.
+            members, elements = object_members(spark, str(tmp_path / "b.json"))
+            checked(elements, "element", (parsed(F.col("text")).isNotNull(), F.col("text")))
+
+
+def test_running_sums(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("at"), (F.col("id") * 7919 % 1000 % 7 - 3).alias("v"))
+    got = {r.at: r.upto for r in running_sums(rows, ["at"], upto=F.col("v")).collect()}
+    total = 0
+    for i in range(1000):
+        assert got[i] == total
+        total += i % 7 - 3
 
 
 def test_target_manifest(spark, tmp_path):
@@ -143,8 +220,19 @@ def test_target_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(manifest))
     build = builds.read_target_manifest(spark, str(tmp_path / "m.json"))
     assert build.sources.first().path == f"{tmp_path}/src/a.cpp" and build.artifacts.first().path == f"{tmp_path}/out/app" and build.headers.count() == 1
-    with pytest.raises(ValueError):
-        builds.manifest_rows(json.dumps(manifest | {"schema_version": 3}), "/")
+    assert [tuple(r) for r in build.targets.collect()] == [("Debug", "app", "app", "executable")] and build.dependencies.first().dependency == "core"
+    first = manifest | {"schema_version": 1}
+    (tmp_path / "m.json").write_text(json.dumps(first))
+    assert builds.read_target_manifest(spark, str(tmp_path / "m.json")).headers.isEmpty()
+    of = lambda **change: manifest | {"configurations": [{"name": "Debug", "targets": [target | change]}]}
+    for bad in (manifest | {"schema_version": True, "source_root": ""}, of(id="", type="program"), of(sources="a.cpp"), of(artifacts=[1]), [manifest]):
+        (tmp_path / "m.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError, match="target manifest"):
+            builds.read_target_manifest(spark, str(tmp_path / "m.json"))
+    for bad in (json.dumps(manifest) + "x", json.dumps(manifest).replace("Debug", "\\udc00")):
+        (tmp_path / "m.json").write_text(bad)
+        with pytest.raises(ValueError, match="target manifest"):
+            builds.read_target_manifest(spark, str(tmp_path / "m.json"))
 
 
 def test_cmake_replies(spark, tmp_path):
@@ -163,11 +251,14 @@ def test_cmake_replies(spark, tmp_path):
 
     assert [r.dependency for r in link_dependencies(build.dependencies).collect()] == ["t3"]
     write("t1.json", reply | {"name": "other"})
-    with pytest.raises(ValueError, match="not of target"):
+    with pytest.raises(ValueError, match="is not of target app"):
+        builds.read_cmake_replies(spark, str(tmp_path))
+    names = {"/etc/x": False, "../x": False, "a/../../x": False, "": False, "x": True, "a/../x": True}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", builds.is_reply_name(F.col("n"))).collect()} == names
+    write("t1.json", reply)
+    write("codemodel.json", {"paths": {"source": "/s", "build": "/b"}, "configurations": [{"name": "Debug", "targets": [{"id": "t1", "name": "app", "jsonFile": "../t1.json"}]}]})
+    with pytest.raises(ValueError, match="stay in the reply folder"):
         builds.read_cmake_replies(spark, str(tmp_path))
-    for bad in ("/etc/x", "../x"):
-        with pytest.raises(ValueError):
-            builds.reply_name(bad)
 
 
 def test_depfiles(spark, tmp_path):
@@ -185,13 +276,15 @@ def test_fact_store(spark, tmp_path):
     digests = file_digests(spark, *files, files[0])
     deps = digests.select(F.lit("u").alias("unit"), "path", "digest", F.endswith("path", F.lit("/a")).alias("is_primary"))
     table = lambda n: spark.createDataFrame([("u", n)], "unit string, n int")
-    store.publish(1, {"symbols": table(1)}, deps)
+    first = store.publish({"symbols": table(1)}, deps)
     assert [r.unit for r in store.valid_units(file_digests(spark, *files)).collect()] == ["u"]
     (tmp_path / "b").write_text("changed")
     assert store.valid_units(file_digests(spark, *files)).isEmpty()
-    store.publish(2, {"symbols": table(2)}, deps)
-    table(3).write.parquet(f"{store.root}/symbols/run=3")  # unpublished
-    assert [(r.n, r.run) for r in store.table("symbols").collect()] == [(2, 2)]
+    second = store.publish({"symbols": table(2)}, deps)
+    assert second > first
+    table(3).write.parquet(f"{store.root}/symbols/run={second + 1}")  # unpublished
+    assert [(r.n, r.run) for r in store.table("symbols").collect()] == [(2, second)]
+    assert store.sweep() == [second + 1] and store.sweep() == [] and store.table("symbols").count() == 1
     key = lambda a, b: spark.range(1).select(unit_key({"a": F.lit(a), "b": F.lit(b)})).first()[0]
     assert key("x", "yz") != key("xy", "z") and key("x", "y") == key("x", "y")
 
@@ -212,6 +305,69 @@ def test_stream_into_the_store(spark, tmp_path):
     assert {(r.unit, r.n) for r in store.table("symbols").collect()} == {("u", 10), ("v", 2)}
 
 
+def stored(store):
+    return sorted((r.unit, r.n) for r in store.table("symbols").collect())
+
+
+def by_unit(batch):
+    return {"symbols": batch}, batch.select("unit", F.col("unit").alias("path"), F.lit("d").alias("digest"), F.lit(True).alias("is_primary")).distinct()
+
+
+def arrivals(spark, folder, *batches):
+    """A stream of files, one micro-batch each."""
+    for rows in batches:
+        spark.createDataFrame(rows, "unit string, n int").coalesce(1).write.mode("append").parquet(str(folder))
+    return lambda: spark.readStream.schema("unit string, n int").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_streams_share_a_store_with_batch_runs(spark, tmp_path):
+    """Batch numbers of different writers are the same and lose nothing."""
+    store = FactStore(spark, str(tmp_path / "store"))
+    store.publish(*by_unit(spark.createDataFrame([("u0", 0), ("u1", 0), ("w", 0)], "unit string, n int")))
+    one, two = arrivals(spark, tmp_path / "one", [("u1", 1)], [("u2", 2)]), arrivals(spark, tmp_path / "two", [("v1", 3)], [("v2", 4), ("v2", 4)])
+    for source, name in ((one, "c1"), (two, "c2")):
+        ingest_stream(source(), store, by_unit, str(tmp_path / name)).awaitTermination(90)
+    everything = [("u0", 0), ("u1", 1), ("u2", 2), ("v1", 3), ("v2", 4), ("v2", 4), ("w", 0)]
+    assert stored(store) == everything
+    writers = [(r.writer, r.batch) for r in store.transactions().collect()]
+    assert len({*writers}) == 5 and sorted(b for w, b in writers if w.startswith("stream")) == [0, 0, 1, 1] and len({r.run for r in store.transactions().collect()}) == 5
+    # From a new checkpoint all of it is read and published again, as a new writer; from an old one nothing.
+    ingest_stream(one(), store, by_unit, str(tmp_path / "c3")).awaitTermination(90)
+    ingest_stream(two(), store, by_unit, str(tmp_path / "c2")).awaitTermination(90)
+    assert stored(store) == everything and store.transactions().count() == 7
+
+
+def test_a_failed_batch_is_published_once(spark, tmp_path):
+    """A batch fails after its facts were written and before its record; it is repeated, and one whose record was made isn't."""
+    store = FactStore(spark, str(tmp_path / "store"))
+    source = arrivals(spark, tmp_path / "in", [("u", 1)], [("v", 2)])
+    calls = []
+
+    def fails(batch):
+        calls.append(batch.sparkSession)
+        facts, dependencies = by_unit(batch)
+        return facts, dependencies if len(calls) != 2 else dependencies.withColumn("unit", F.raise_error(F.lit("lost")).cast("string"))
+
+    with pytest.raises(Exception, match="lost"):
+        ingest_stream(source(), store, fails, str(tmp_path / "c")).awaitTermination(90)
+    assert stored(store) == [("u", 1)]
+    ingest_stream(source(), store, fails, str(tmp_path / "c")).awaitTermination(90)
+    assert stored(store) == [("u", 1), ("v", 2)] and len(calls) == 3
+    assert len(store.sweep()) == 1 and stored(store) == [("u", 1), ("v", 2)]
+
+
+def test_one_of_two_attempts_publishes(spark, tmp_path, monkeypatch):
+    store, rows = FactStore(spark, str(tmp_path / "store")), spark.createDataFrame([("u", 1)], "unit string, n int")
+    assert store.publish(*by_unit(rows), ("stream s", 4)) and store.publish(*by_unit(rows), ("stream s", 4)) is None
+    # Both attempts found no record; the slower one finds it when it renames its own, and takes back what it wrote.
+    monkeypatch.setattr(store, "published", lambda *_: False)
+    assert store.publish(*by_unit(rows), ("stream s", 4)) is None
+    assert stored(store) == [("u", 1)] and store.transactions().count() == 1 and store.sweep() == []
+    with ThreadPoolExecutor(4) as pool:
+        runs = list(pool.map(lambda i: store.publish(*by_unit(rows.withColumn("unit", F.lit(f"w{i}")))), range(4)))
+    assert len({*runs}) == 4 and len(stored(store)) == 5
+
+
 def test_written_tables(spark, tmp_path):
     from reachlake.storage import new_path, written
 
