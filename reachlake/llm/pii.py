@@ -8,10 +8,11 @@ what touches it, whether further groups join it).
 
 The trees must know more than the base, so they learn from what the base can't see. A candidate that is a base span vouches for
 its place: the text before it, with the span written in another way (VARIANTS: at-signs and dots written out, other separators, no plus, no
-country code, full-width digits), is a positive example. Negative ones are the candidates that touch no base span, and
-the same digits written as what only looks alike (ALIKE: versions, book numbers, sums, dates, serial numbers), after the same text
-and after words that go with them. Documents are halved by a hash of their id: one half trains, the other calibrates. A kind's
-threshold is the lowest score from which on PRECISION of the calibration examples are positive, SUPPORT of them at least.
+country code, full-width digits), is a positive example. Negative ones are the same digits written as what only looks alike
+(ALIKE: versions, book numbers, sums, dates, serial numbers), after the same text and after words that go with them. A candidate
+that touches no base span has no label: it may be just what is looked for, so where it stands free and its format is that of some positive example it is
+left out, however many of its kind there are, and the others are negative examples. Documents are halved by a hash of their id: one half trains, the other calibrates. A kind's
+threshold is the lowest score, likelier positive than not, from which on PRECISION of the calibration examples are positive, SUPPORT of them at least.
 Candidates at or above it that touch no base span are added as spans of their kind. Of added ones that overlap the highest score
 stays, then the longest, then the first; an address goes before numbers in it.
 
@@ -55,7 +56,7 @@ SIDES = ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2))
 LAST_GROUP = r"[^0-9０-９]{1,3}[0-9０-９]+$"
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 CUES = r"(?i)(?:mail|tel|phone|fon|mobil|call|fax|card|karte|tarjeta|carte|visa|\bip|host|addr|contact|write)[^0-9]{0,12}$"
-OTHER_CUES = r"(?i)(?:\bv|vers|isbn|\bno\.?|n[r°º]\.?|#|[$€£]|eur|usd|total|sum|price|order|serial|id|date|since|=)[^0-9A-Za-z]{0,6}$"
+OTHER_CUES = r"(?i)(?:\bv|vers(?:ion)?|isbn|\bno\.?|n[r°º]\.?|#|[$€£]|eur|usd|total|sum|price|order|serial|id|date|since|=)[^0-9A-Za-z]{0,6}$"
 ROUNDS, DEPTH, RATE, SMOOTH = 30, 4, 0.4, 1.0
 PRECISION, SUPPORT = 0.98, 20
 
@@ -86,7 +87,10 @@ def passes(kind: str, m: Column) -> Column:
 
 
 #: Features and the number of their values; all are whole numbers from 0.
-FEATURES = {"at": 4, "name": 2, "digits": 6, "groups": 5, "last": 4, "joins": 6, "lead": 4, "luhn": 2, "bytes": 2, "cents": 2, "before": 3, "left": 3, "right": 3, "cue": 3}
+FEATURES = {"at": 4, "name": 2, "digits": 6, "groups": 5, "last": 4, "joins": 6, "lead": 4, "luhn": 2, "bytes": 2, "cents": 2, "before": 3, "left": 3, "right": 3, "cue": 4}
+
+#: Features of what stands around a candidate; the others are its format.
+AROUND = ("before", "left", "right", "cue")
 
 
 def feature_values(m: Column, before: Column, left: Column, right: Column, address: Column) -> list[Column]:
@@ -98,21 +102,23 @@ def feature_values(m: Column, before: Column, left: Column, right: Column, addre
     joins = F.regexp_replace(plain, r"[0-9+]", "")
     number = lambda x: F.when(address, F.lit(0)).otherwise(x)
     tail = F.char_length(F.regexp_extract(plain, "([0-9]+)[^0-9]*$", 1))
+    # How many digits an address of four bytes has says nothing.
+    four = passes("ip", plain)
     values = {
         "at": F.when(~address, 0).when(like(m, r"@"), 1).when(like(m, r"(?i)[(\[{]at[)\]}]"), 2).otherwise(3),
         "name": F.when(address & like(m, "[A-Za-z]{2}$"), 1).otherwise(0),
-        "digits": number(F.when(n < 9, 0).when(n < 11, 1).when(n < 13, 2).when(n < 15, 3).when(n < 17, 4).otherwise(5)),
+        "digits": number(F.when(four, 5).when(n < 9, 0).when(n < 11, 1).when(n < 13, 2).when(n < 15, 3).when(n < 17, 4).otherwise(5)),
         "groups": number(F.least(F.lit(4), F.size(F.split(F.regexp_replace(plain, "^[^0-9]+", ""), "[^0-9]+")) - 1)),
-        "last": number(F.when(tail < 3, 0).when(tail < 4, 1).when(tail < 5, 2).otherwise(3)),
+        "last": number(F.when(four | (tail < 3), 0).when(tail < 4, 1).when(tail < 5, 2).otherwise(3)),
         "joins": number(F.when(joins == "", 0).when(like(joins, r"^\x20+$"), 1).when(like(joins, "^-+$"), 2).when(like(joins, r"^\.+$"), 3).when(like(joins, "[,_/]"), 4).otherwise(5)),
         "lead": number(F.when(like(plain, r"^\+"), 1).when(like(plain, r"^00[\x20-]?[1-9]"), 2).when(like(plain, r"^\(?0?[1-9][0-9]*\)"), 3).otherwise(0)),
         "luhn": number(F.when(n.between(13, 19), luhn(d)).otherwise(F.lit(False)).cast("int")),
-        "bytes": number(passes("ip", plain).cast("int")),
-        "cents": number((like(plain, r"[.,][0-9]{2}$") & ~passes("ip", plain)).cast("int")),
+        "bytes": number(four.cast("int")),
+        "cents": number((like(plain, r"[.,][0-9]{2}$") & ~four).cast("int")),
         "before": F.when(like(before, r"[A-Za-zÀ-ÿ]$"), 1).when(like(before, r"[^\x20\t\n\r(|]$"), 2).otherwise(0),
         "left": left,
         "right": right,
-        "cue": F.when(like(before, CUES), 1).when(like(before, OTHER_CUES), 2).otherwise(0),
+        "cue": F.when(like(before, CUES), F.when(like(before, OTHER_CUES), 3).otherwise(1)).when(like(before, OTHER_CUES), 2).otherwise(0),
     }
     return [values[k].cast("int").alias(k) for k in FEATURES]
 
@@ -209,7 +215,7 @@ def alike(m: Column, before: Column) -> Column:
 
 
 def examples(rows: DataFrame) -> DataFrame:
-    """(part, y, sided, f): confirmed spans in other ways of writing, against what looks alike and what touches no base span. Part 0 trains, 1 calibrates; sided ones stand for all SIDES."""
+    """(part, y, sided, unlabelled, f): confirmed spans in other ways of writing, against what looks alike and what touches no base span, which is unlabelled. Part 0 trains, 1 calibrates; sided ones stand for all SIDES."""
     each = rows.select(*KINDS, F.pmod(F.xxhash64("id"), F.lit(2)).alias("part"), F.explode(F.concat("address", "number")).alias("x"))
     at = lambda test, k: test(k, F.col("x.start"), F.col("x.end"))
     confirmed = reduce(lambda rest, k: F.when(at(contains, k), k).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
@@ -227,8 +233,8 @@ def examples(rows: DataFrame) -> DataFrame:
     cut_off = F.transform(ways, lambda m: entry(F.regexp_replace(m, LAST_GROUP, ""), x["before"], zero, last(m), email, 0, False))
     cut_off = F.filter(cut_off, lambda e: ~e["address"] & (F.char_length(digits(narrow(e["m"]))) >= LEAST_DIGITS))
     made = F.when(F.col("kind").isNotNull(), F.concat(yes, no, cut_off)).when(~F.col("touching"), own)
-    each = each.select("part", F.explode(made).alias("e"))
-    return each.select("part", "e.y", (F.col("e.sided") & ~F.col("e.address")).alias("sided"), F.struct(*feature_values(F.col("e.m"), F.col("e.before"), F.col("e.left"), F.col("e.right"), F.col("e.address"))).alias("f"))
+    each = each.select("part", F.col("kind").isNull().alias("unlabelled"), F.explode(made).alias("e"))
+    return each.select("part", "e.y", (F.col("e.sided") & ~F.col("e.address")).alias("sided"), F.col("unlabelled"), F.struct(*feature_values(F.col("e.m"), F.col("e.before"), F.col("e.left"), F.col("e.right"), F.col("e.address"))).alias("f"))
 
 
 @dataclass
@@ -303,7 +309,7 @@ def boost(table: list[dict]) -> Booster:
         seen = right = 0.0
         for i, (score, count, good) in enumerate(rows):
             seen, right = seen + count, right + good
-            if right >= SUPPORT and right >= PRECISION * seen and (i + 1 == len(rows) or rows[i + 1][0] < score):
+            if score >= 0 and right >= SUPPORT and right >= PRECISION * seen and (i + 1 == len(rows) or rows[i + 1][0] < score):
                 thresholds[k] = float(score) - 1e-6
                 measured[k] = (float(right / seen), float(right / sum(b for _, _, b in rows)))
     return Booster(bias, trees, thresholds, measured)
@@ -311,15 +317,22 @@ def boost(table: list[dict]) -> Booster:
 
 def train(rows: DataFrame) -> Booster:
     """From the examples of all rows, folded into counts by feature vector."""
-    table = examples(rows).withColumn("kind", suggested(F.col("f"))).groupBy("part", "f", "kind", "y", "sided").agg(F.count("*").alias("n"))
+    table = examples(rows).withColumn("kind", suggested(F.col("f"))).groupBy("part", "f", "kind", "y", "sided", "unlabelled").agg(F.count("*").alias("n"))
+    table = table.collect()  # as many rows as there are feature vectors
+    format_of = lambda f: tuple(v for k, v in f.asDict().items() if k not in AROUND)
+    sought = {format_of(r.f) for r in table if r.y}
     found: dict[tuple, list[int]] = {}
-    for r in table.collect():  # as many rows as there are feature vectors
-        # A number stands alone or in a list, joined by blanks; what a group joins closely is a part of something else.
-        for left, right in SIDES if r.sided else ((r.f.left, r.f.right),):
-            key = (r.part, r.kind, *{**r.f.asDict(), "left": left, "right": right}.values())
+    for r in table:
+        # What letters or further groups touch is a part of something else.
+        if r.unlabelled and r.f.before != 1 and max(r.f.left, r.f.right) < 2 and format_of(r.f) in sought:
+            continue
+        # A number stands alone or in a list, joined by blanks; what a group joins closely, or a letter, is a part of something else.
+        places = [(left, right, r.f.before) for left, right in SIDES] + [(0, 0, 1)] if r.sided else [(r.f.left, r.f.right, r.f.before)]
+        for left, right, before in places:
+            key = (r.part, r.kind, *{**r.f.asDict(), "left": left, "right": right, "before": before}.values())
             n = found.setdefault(key, [0, 0])
             n[0] += r.n
-            n[1] += r.n if r.y and max(left, right) < 2 else 0
+            n[1] += r.n if r.y and max(left, right) < 2 and not (r.sided and before == 1) else 0
     return boost([{"part": part, "kind": kind, **dict(zip(FEATURES, f, strict=True)), "n": n, "pos": pos} for (part, kind, *f), (n, pos) in sorted(found.items())])
 
 

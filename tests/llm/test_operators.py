@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -367,6 +368,35 @@ def test_personal_data_adds_what_the_base_misses(spark):
     assert all(r.spans == "" for r in pii.find_personal_data(docs_of(spark, texts[n:])).collect())
 
 
+#: Written in ways that the base misses, and what only looks like it; the places are filled with letters and digits.
+WAYS = (
+    ("email", "{n} [at] post.{h}.org"), ("email", "{n} at {h} dot example dot com"), ("email", "{n}(at){h}.net"), ("phone", "({a}) {b}-{c}"), ("phone", "{a} {b} {c}"), ("phone", "001 {a} {b} {c}"), ("ip", "10[.]{x}[.]{y}[.]41"),
+    ("card", "4111.1111.1111.1111"), ("card", "5500/0000/0000/0004"),
+)
+NO_WAYS = ("ISBN 978-3-16-{a}10-0", "total 1.{a}.{b},89", "on 20{x}-07-12 it", "look at 12.30", "version 10.{x}.3", "serial 4111111111111112", "$12,{a},{b}.90", "1999-2003", "12.07.20{x}")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.5, 0.9])
+def test_what_is_frequent_is_not_unlearnt(spark, share):
+    """However many documents hold what the base misses, nearly all of it is found, and next to nothing that only looks alike."""
+    rng = random.Random(5)
+    letters = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    fill = lambda form: form.format(n=letters("abcdefgh", 6), h=letters("mnopqrst", 5), a=rng.randint(201, 989), b=rng.randint(200, 999), c=letters("0123456789", 4), x=rng.randint(10, 99), y=rng.randint(10, 99))
+    texts, planted, alike = [], {}, {}
+    for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()):
+        before = (r.text or "") + "\nsome words "
+        chosen, form = (planted, WAYS[i % len(WAYS)]) if rng.random() < share else (alike, ("", NO_WAYS[i % len(NO_WAYS)]))
+        found = fill(form[1])
+        chosen[i] = (form[0], len(before), len(before) + len(found))
+        texts.append(before + found + " and more")
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    hits = sum(f"{k}:{a}:{b}" in got[i] for i, (k, a, b) in planted.items())
+    ends = lambda span: tuple(map(int, span.split(":")[1:])) if span else (0, 0)
+    false = sum(any(x < b and a < y for x, y in map(ends, got[i])) for i, (_, a, b) in alike.items())
+    assert hits >= 0.9 * len(planted) and hits >= 0.98 * (hits + false), (hits, len(planted), false, len(alike))
+
+
 def test_parts_of_number_lists_are_proposed(spark):
     row = pii.candidates(docs_of(spark, ["see 212-555-0188 312-555-0142 412-555-0111 x"])).first()
     proposed = {(x.start, x.end, x.m) for x in row.number}
