@@ -24,10 +24,10 @@ from reachlake.plans.analysis import IncompleteRun, analyze, failed, gate, repor
 from reachlake.plans.selection import LIBRARIES, Selection, cancellable, commands_below, fallback_notes, require_observed, select_commands, with_manual_roots
 from reachlake.plans.units import read_units
 from reachlake.schema import FRONTENDS
-from reachlake.sinks.documents import Context, read_artifact, write_artifact
+from reachlake.sinks.artifact import read_artifact, write_artifact, write_artifact_parts
+from reachlake.sinks.documents import Context
 from reachlake.sources.builds import Build, normalized_commands, read_cmake_replies, read_compile_commands, read_target_manifest
 from reachlake.sources.policies import apply_provider_policies, callback_rules, read_diff_policy, read_provider_policies
-from reachlake.sources.strict import read_one
 
 VERSION = "0.2"
 
@@ -163,11 +163,14 @@ def analysed(spark: SparkSession, found: argparse.Namespace, context: Context, o
     notes += fallback_notes(facts.symbols)
     reporting = time.time()
     if found.graph_output:
-        with open(found.graph_output, "w", encoding="utf-8") as file:
-            write_artifact(file, facts, context, notes)
+        if found.graph_output.endswith("/"):
+            write_artifact_parts(found.graph_output, facts, context, notes)
+        else:
+            with open(found.graph_output, "w", encoding="utf-8") as file:
+                write_artifact(file, facts, context, notes)
     status = 0
     if found.baseline_graph:
-        status = gate(out, read_artifact(spark, read_one(spark, found.baseline_graph), stable_key), (facts, context), read_diff_policy(spark, found.diff_policy), found.format, found.project_root)
+        status = gate(out, read_artifact(spark, found.baseline_graph, stable_key), (facts, context), read_diff_policy(spark, found.diff_policy), found.format, found.project_root)
         status = status if found.fail_on_diff else 0
     else:
         report(out, analysis, context, found.format, tuple(notes))

@@ -15,7 +15,8 @@ from reachlake.operators.merge import require_empty
 from reachlake.operators.reach import unreachable, with_reach
 from reachlake.schema import Facts
 from reachlake.sinks import documents, reports
-from reachlake.sinks.documents import Context, check_references
+from reachlake.sinks.artifact import check_references
+from reachlake.sinks.documents import Context
 from reachlake.storage import written
 
 

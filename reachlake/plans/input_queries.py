@@ -20,7 +20,8 @@ from reachlake.operators import diff
 from reachlake.operators.extract import Project, extract
 from reachlake.plans.selection import select_commands
 from reachlake.schema import Facts
-from reachlake.sinks.documents import Context, read_artifact, write_artifact, write_sarif
+from reachlake.sinks.artifact import read_artifact, write_artifact_parts
+from reachlake.sinks.documents import Context, write_sarif
 from reachlake.sources import policies, tables
 from reachlake.sources.ast import ast_nodes
 from reachlake.sources.builds import dependencies_of, normalized_commands, read_compile_commands, read_target_manifest
@@ -125,10 +126,10 @@ def extracted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extracted facts, written as a graph artifact and read again with all its checks."""
-    out = io.StringIO()
-    write_artifact(out, extracted(spark, sf_dir), Context("default"))
-    facts, _ = read_artifact(spark, out.getvalue(), keys.stable_key)
+    """The extracted facts, written as a graph artifact by the executors and read again, by its lines, with all its checks."""
+    path = new_path(spark, "artifact")
+    write_artifact_parts(path, extracted(spark, sf_dir), Context("default"), ["a note"])
+    facts, _ = read_artifact(spark, path, keys.stable_key)
     return number(facts, facts.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "kind"), a="src", b="dst").distinct()
 
 

@@ -11,7 +11,7 @@ from reachlake.functions import keys
 from reachlake.functions.text import callee_and_index, expand_responses, is_compiler, is_launcher, normalize_command, owned_element, split_shell, uri
 from reachlake.operators.scan import running_sums
 from reachlake.sources import builds, policies, strict
-from reachlake.sources.members import checked, object_members, parsed, pieces_of
+from reachlake.sources.members import checked, lone_surrogate, object_members, parsed, pieces_of
 from reachlake.streaming.store import FactStore, file_digests, ingest_stream, unit_key
 from tests.test_graphs import make_facts, symbol
 
@@ -205,6 +205,17 @@ def test_members_of_an_object(spark, tmp_path):
             checked(elements, "element", (parsed(F.col("text")).isNotNull(), F.col("text")))
 
 
+@pytest.mark.parametrize(("text", "good"), [(r'"\ud83d\ude00"', True), (r'"\\ud800"', True), (r'"\uDBFF"', False), (r'"\ud800\u0041"', False), (r'"\udc00\ud800"', False), (r'"\\\ud800"', False)])
+def test_half_characters(spark, text, good):
+    """The strict decoder and the column agree."""
+    assert spark.range(1).select(lone_surrogate(F.lit(text))).first()[0] is not good
+    if good:
+        strict.parse_json(text)
+    else:
+        with pytest.raises(ValueError, match="half a character"):
+            strict.parse_json(text)
+
+
 def test_running_sums(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("at"), (F.col("id") * 7919 % 1000 % 7 - 3).alias("v"))
     got = {r.at: r.upto for r in running_sums(rows, ["at"], upto=F.col("v")).collect()}
