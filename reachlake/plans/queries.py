@@ -11,7 +11,7 @@ from reachlake.functions.keys import stable_key
 from reachlake.operators import aggregate, classify, components, diff, merge, resolve, targets
 from reachlake.operators.reach import adjacency, reach, unreachable, with_reach
 from reachlake.sources import tables
-from reachlake.storage import written
+from reachlake.storage import exists, folder_state, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,16 +20,22 @@ def named(df: DataFrame, *columns: str, **renamed: str) -> DataFrame:
     return df.select(*columns, *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
-#: What several queries of one application need of the same tables, by application, folder and name.
-SHARED: dict[tuple[str, str, str], DataFrame] = {}
+#: Paths of what several queries of one application need of the same tables, by application, folder, state of the folder and name.
+SHARED: dict[tuple[str, str, str, str], str] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that make gives, written once per application and folder; the tables of a folder don't change while it runs."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in SHARED:
-        SHARED[key] = written(make(), name)
-    return SHARED[key]
+    """The table that make gives, written once per application while the folder's files stay as they are and the table is there."""
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), name)
+    if key not in SHARED or not exists(spark, SHARED[key]):
+        SHARED[key] = new_path(spark, name)
+        make().write.parquet(SHARED[key])
+    return spark.read.parquet(SHARED[key])
+
+
+def forget_shared() -> None:
+    """Makes the next queries work everything out anew."""
+    SHARED.clear()
 
 
 def reach_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from reachlake import storage
 from reachlake.plans.input_queries import QUERIES as INPUTS
 from reachlake.plans.queries import QUERIES as CORE
+from reachlake.plans.queries import SHARED, forget_shared
 
 QUERIES = CORE | INPUTS
 
@@ -40,6 +42,24 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_shared_results_follow_the_tables(spark, tmp_path):
+    """What queries share is made anew where a folder's files have changed, and where its table was removed."""
+    for name in TABLES:
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    folder, query = str(tmp_path), QUERIES["provider_only"]
+    ids = lambda: sorted(r.id for r in query(spark, folder).collect())
+    first, kept = ids(), len(SHARED)
+    assert first == ids() and len(SHARED) == kept
+    storage.remove_tables(spark)
+    assert ids() == first
+    fewer = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey % 3 = 0")
+    os.unlink(tmp_path / "lineitem.parquet")
+    fewer.write.parquet(str(tmp_path / "lineitem.parquet"))
+    forgotten = ids()
+    forget_shared()
+    assert forgotten == ids() != first
+
+
 def test_entry(spark):
     assert sum(r.n for r in __spark_entry__.entry(spark).collect()) == 141
 
