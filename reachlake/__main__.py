@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reachlake.functions.keys import stable_key
 from reachlake.functions.text import callee_and_index
 from reachlake.operators.classify import actionable
-from reachlake.operators.extract import Project, extract
+from reachlake.operators.extract import Project, extract, unknown_factories
 from reachlake.plans.analysis import IncompleteRun, analyze, failed, gate, report, require_indexed
 from reachlake.plans.selection import LIBRARIES, Selection, cancellable, commands_below, fallback_notes, require_observed, select_commands, with_manual_roots
 from reachlake.plans.units import read_units
@@ -103,9 +103,8 @@ def project_of(found: argparse.Namespace, context: Context, commands: DataFrame
         project.public_headers = chosen.headers
         if chosen.infer_exports:
             own = build.sources.filter((F.col("configuration") == context.configuration) & (F.col("id") == context.target_id)).select(F.col("path").alias("file"))
-            rows = normalized_commands(commands.join(own, "file", "left_semi")).orderBy("index").collect()  # the sources of one target
-            project.exporting_units = sorted({r.file for r in rows})
-            project.arguments = list(rows[0].arguments) if rows else []
+            rows = normalized_commands(commands.join(own, "file", "left_semi")).groupBy(F.col("file").alias("unit"))
+            project.exports = rows.agg(F.min_by("arguments", "index").alias("arguments"))
     return project
 
 
@@ -160,6 +159,8 @@ def analysed(spark: SparkSession, found: argparse.Namespace, context: Context, o
         api = facts.roots.filter("kind = 'public_api'").select(F.col("symbol").alias("key"))
         require_observed(chosen.headers, facts.symbols.join(api, "key", "left_semi").select(F.col("source.spelling.location.file").alias("file")))
     analysis = analyze(facts)
+    factories = unknown_factories(units.nodes).orderBy("helper", "built").collect()  # a name for each kind of factory in the code
+    notes += [f"unsupported owning-pointer factory {r.helper}: {r.built} is taken to be constructed and destroyed" for r in factories]
     notes += fallback_notes(facts.symbols)
     reporting = time.time()
     if found.graph_output:

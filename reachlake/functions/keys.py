@@ -100,5 +100,5 @@ def public_header_reason(header: Column) -> Column:
 def export_visibility(attribute: Column, arguments: Column) -> Column:
     """Whether a symbol is exported: its attribute decides, else the last -fvisibility= argument, else it is."""
     flags = F.filter(arguments, lambda a: F.startswith(a, F.lit("-fvisibility=")))
-    last = F.element_at(flags, F.when(F.size(flags) > 0, -1).otherwise(F.lit(None).cast("int")))
+    last = F.try_element_at(flags, F.when(F.size(flags) > 0, -1).otherwise(F.lit(None).cast("int")))
     return F.when(present(attribute), attribute.isin("default", "protected")).otherwise(F.coalesce(last, F.lit("-fvisibility=default")).isin("-fvisibility=default", "-fvisibility=protected"))

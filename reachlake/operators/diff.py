@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reachlake.operators.classify import findings
 from reachlake.operators.reach import eligible, with_reach
-from reachlake.schema import CHANGE_KINDS, CLASSIFICATIONS, Facts
+from reachlake.schema import CHANGE_KINDS, CLASSIFICATIONS, Facts, primary_extent
 
 
 @dataclass(frozen=True)
@@ -45,9 +45,16 @@ def states(facts: Facts) -> DataFrame:
     return eligible(reached).join(found, "key", "left").withColumn("suppressed", F.coalesce(F.size("suppressions") > 0, F.lit(False)))
 
 
+def with_display(rows: DataFrame) -> DataFrame:
+    """rows with symbol, what reports show of one."""
+    place = primary_extent()["location"] if "source" in rows.columns else F.struct("file", F.col("begin_line").alias("line"))
+    linkage = F.col("linkage_name") if "linkage_name" in rows.columns else F.col("identity.linkage_name")
+    return rows.withColumn("symbol", F.struct("qualified_name", "signature", linkage.alias("linkage_name"), "kind", "scope", place["file"].alias("file"), place["line"].cast("long").alias("line")))
+
+
 def changes(baseline: Facts, current: Facts, policy: Policy = Policy(), target: str = "") -> DataFrame:
-    """(key, change, baseline_*, current_*, policy_match) of every symbol whose state changed."""
-    old, new = (states(f).select("key", F.struct("reachable", "suppressed", "classification").alias(side)) for f, side in ((baseline, "old"), (current, "new")))
+    """(key, change, symbol, baseline_*, current_*, policy_match) of every symbol whose state changed. symbol shows it as it is now, or as it was if it is gone."""
+    old, new = (with_display(states(f)).select("key", F.struct("reachable", "suppressed", "classification", "symbol").alias(side)) for f, side in ((baseline, "old"), (current, "new")))
     both = old.join(new, "key", "full_outer")
     change = (
         F.when(F.col("old").isNull(), "new_symbol").when(F.col("new").isNull(), "removed").when(F.col("old.reachable") & ~F.col("new.reachable"), "newly_unreachable").when(~F.col("old.reachable") & F.col("new.reachable"), "became_reachable")
@@ -55,7 +62,7 @@ def changes(baseline: Facts, current: Facts, policy: Policy = Policy(), target:
     rows = both.withColumn("change", change).filter("change is not null")
     applies = F.lit(not policy.targets or target in policy.targets)
     match = applies & F.col("change").isin(*policy.changes) & ~F.coalesce("new.suppressed", F.lit(True)) & F.coalesce(F.col("new.classification").isin(*policy.classifications), F.lit(False))
-    return rows.select("key", "change", *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("old", "baseline"), ("new", "current")) for c in ("reachable", "suppressed", "classification")], match.alias("policy_match"))
+    return rows.select("key", "change", F.coalesce("new.symbol", "old.symbol").alias("symbol"), *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("old", "baseline"), ("new", "current")) for c in ("reachable", "suppressed", "classification")], match.alias("policy_match"))
 
 
 def counters(changed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,11 +29,17 @@ def selector_matches(selectors: DataFrame, symbols: DataFrame) -> DataFrame:
 def resolve_unique(selectors: DataFrame, symbols: DataFrame) -> DataFrame:
     """(selector, key); fails unless every selector names exactly one symbol."""
     found = selector_matches(selectors, symbols)
-    for row in found.filter("matches <> 1").limit(1).collect():
-        raise ValueError(f"selector {row.selector} matched {row.matches} symbols")
+    for row in found.filter("matches <> 1").join(selectors, "selector").orderBy("selector").limit(1).collect():
+        raise ValueError(f"{described(row)} of {row.selector} matched {row.matches} symbols")
     return found.select("selector", "key")
 
 
+def described(selector: Row) -> str:
+    """What a selector asks for: the first identity that it gives, and the signature that goes with a name."""
+    field = next(f for f in SELECTOR_FIELDS if selector[f])
+    return f"{field} '{selector[field]}'" + (f" with signature '{selector.signature}'" if field == "qualified_name" and selector.signature else "")
+
+
 def manual_roots(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """(request, key) for requests by qualified name, linkage name or key; one may name many symbols. key is null for a request that names none."""
     names = symbols.select("key", F.explode(F.array_distinct(F.array("qualified_name", "linkage_name", F.col("key").cast("string")))).alias("request")).filter("request <> ''")

@@ -31,6 +31,12 @@ SQL: dict[str, str] = {
                case k when 1 then '/p/include/m.h:6:3:90:4' when 3 then loc when 4 then unknown else start || ':4' end as spelling_begin,
                case k when 1 then '/p/include/m.h:8:3:140:1' when 0 then unit || ':' || (p + 3) || ':1:' || (p + 50) || ':1' when 3 then '/p/include/h.h:' || (p + 3) || ':1:' || (p + 50) || ':1' when 4 then unknown else start || ':4' end as spelling_end,
                case when k = 1 then start || ':6' end as expansion_location, case when k = 1 then start || ':6' end as expansion_begin, case when k = 1 then start || ':6' end as expansion_end from points""",
+    "exported_roots": "select distinct l_partkey as id, 'public_api' as kind from lineitem where l_partkey % 6 <> 5 and l_partkey % 10 <> 9 and l_suppkey % 4 <> 3 and l_suppkey % 3 <> 0",
+    "removed_symbols": f"""{R}{DIFF}
+        select d.id, s.qualified_name, s.signature, s.linkage_name, s.kind, s.scope, s.file, s.begin_line as line from diffs d join symbols s on s.id = d.id where change = 'removed'""",
+    "owning_factories": """with pairs as (select distinct l_suppkey as s, l_partkey as p from lineitem where l_partkey % 20 % 2 = 0 and l_partkey % 3 <> 2)
+        select case when p % 3 = 0 then 'made' else 'taken' end as how, count(*) as sources, count(distinct p % 20) as classes from pairs group by 1
+        union all select 'create' || (p % 7), null, count(distinct p % 20) from pairs where p % 3 = 1 group by 1""",
     "artifact_round_trip": f"with {USES} select * from called",
     "type_spellings": f"""select p_partkey as id, {PLAIN} as plain,
         case when p_partkey % 3 = 2 or p_partkey % 5 = 0 then null else {PLAIN} end as owned from part""",

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from reachlake.functions import keys
 from reachlake.functions.text import owned_class, shell_words, uri_encoded
 from reachlake.operators import diff
-from reachlake.operators.extract import Project, extract
+from reachlake.operators.extract import Project, extract, unknown_factories
 from reachlake.plans.selection import select_commands
 from reachlake.schema import Facts
 from reachlake.sinks.artifact import read_artifact, write_artifact_parts
@@ -94,6 +94,45 @@ def extracted_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number(facts, facts.escapes.select("symbol", F.col("from").alias("by"), "kind"), symbol="id", by="from_id").distinct()
 
 
+def exported_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public definitions of a shared library whose units are three in four suppliers, each compiled with visibility flags of its own."""
+    key = F.col("s_suppkey")
+    flags = F.when(key % 3 == 0, F.array(F.lit("-fvisibility=hidden"))).when(key % 3 == 1, F.array(F.lit("-fvisibility=hidden"), F.lit("-fvisibility=default"))).otherwise(F.array(F.lit("-O2")))
+    exports = tables.table(spark, sf_dir, "supplier").filter(key % 4 != 3).select(text("/p/src/s{}.cpp", key).alias("unit"), flags.alias("arguments"))
+    facts = extract(ast_nodes(dumps(spark, sf_dir)), Project("/p", ["/p/src"], exports=exports))
+    return number(facts, facts.roots.filter("kind = 'public_api'").select("symbol", "kind"), symbol="id").distinct()
+
+
+def removed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a comparison shows of symbols that are gone: as the baseline had them."""
+    changed = diff.changes(*tables.diff_pair(spark, sf_dir)).filter("change = 'removed'")
+    return changed.select(F.col("key").alias("id"), *[F.col(f"symbol.{c}").alias(c) for c in ("qualified_name", "signature", "linkage_name", "kind", "scope", "file", "line")])
+
+
+def factory_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, text): a dump per supplier, with a function f<supplier>_<part> that gets an owning pointer of class C<part modulo 20> from the standard factory, from one of its own, or from an expression without a name,
+    and with the even ones of these classes."""
+    pairs = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    s, p = F.col("s"), F.col("p")
+    unit = text("/p/src/s{}.cpp", s)
+    helper = F.when(p % 3 == 0, "make_unique").otherwise(text("create{}", p % 7))
+    callee = F.when(p % 3 == 2, '{"kind":"ParenExpr","inner":[]}').otherwise(text('{"kind":"ImplicitCastExpr","inner":[{"kind":"DeclRefExpr","referencedDecl":{"id":"0xh","kind":"FunctionDecl","name":"{}"}}]}', helper))
+    call = text('{"kind":"CallExpr","valueCategory":"prvalue","type":{"qualType":"std::unique_ptr<C{}>"},"inner":[{}]}', p % 20, callee)
+    node = text('{"id":"0x{}","kind":"FunctionDecl","name":"f","mangledName":"_Zf{}_{}","type":{"qualType":"void ()"},"loc":{"file":"{}","line":{},"col":1},"inner":[{"kind":"CompoundStmt","inner":[{}]}]}', p, s, p, unit, p, call)
+    owned = F.concat_ws(",", *[F.lit(f'{{"id":"0xC{i}","kind":"CXXRecordDecl","name":"C{i}","inner":[{{"id":"0xd{i}","kind":"CXXDestructorDecl","name":"~C{i}","mangledName":"_Zd{i}","type":{{"qualType":"void ()"}},"loc":{{"file":"/p/src/c.h","line":{i + 1},"col":1}},"inner":[{{"kind":"CompoundStmt"}}]}}]}}') for i in range(0, 20, 2)])
+    units = pairs.select("s", "p", node.alias("node")).groupBy("s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "node"))), lambda x: x["node"]), ",").alias("nodes"))
+    return units.select(unit.alias("unit"), text('{"kind":"TranslationUnitDecl","id":"0x","inner":[{},{}]}', owned, F.col("nodes")).alias("text"))
+
+
+def owning_factories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which classes are constructed and destroyed through owning pointers, by what kind of factory and from how many functions; and the factories that aren't known."""
+    nodes = written(ast_nodes(factory_dumps(spark, sf_dir)), "nodes")
+    edges = extract(nodes, Project("/p", ["/p/src"])).edges.filter("kind = 'constructs'")
+    made = edges.groupBy(F.when(F.contains("evidence.reason", F.lit("taken to be")), "taken").otherwise("made").alias("how")).agg(F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("classes"))
+    unknown = unknown_factories(nodes)
+    return made.union(unknown.groupBy(F.col("helper").alias("how")).agg(F.lit(None).cast("long").alias("sources"), F.countDistinct("built").alias("classes")))
+
+
 def place_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, text): a dump per supplier, whose function f<supplier>_<part> stands, by its part's number: 0 in the unit; 1 in a macro, spelled in a header and expanded in the unit; 2 in
     the unit, by a place that leaves out the file and has no end; 3 in a header; 4 in a header whose name is left out. A variable that stands in the unit comes before each, and calls it."""
@@ -317,7 +356,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        extracted_symbols, extracted_edges, extracted_roots, extracted_escapes, extracted_places, artifact_round_trip, type_spellings, command_words, analysis_commands, compile_commands, manifest_sources, target_commands, depfile_dependencies, file_scopes,
+        extracted_symbols, extracted_edges, extracted_roots, extracted_escapes, extracted_places, exported_roots, removed_symbols, owning_factories, artifact_round_trip, type_spellings, command_words, analysis_commands, compile_commands, manifest_sources, target_commands, depfile_dependencies, file_scopes,
         display_texts, fallback_identities, export_visibility, provider_facts, uri_paths, unit_keys, store_reuse, store_stream, sarif_results,
     )
 }

@@ -112,7 +112,7 @@ def corners(spark):
     d.add(d.decl("FunctionDecl", "main", [build, call("kept", object_), local, through("lv"), notbound, through("nb")]))
     rules = spark.createDataFrame([("r", "reg", 1)], "rule string, callee string, argument_index long")
     units = spark.createDataFrame([(d.unit, d.text())], "unit string, text string")
-    return extract(ast_nodes(units), Project("/p", ["/p/src"], exporting_units=[d.unit], arguments=["-O2"]), rules)
+    return extract(ast_nodes(units), Project("/p", ["/p/src"], exports=spark.createDataFrame([(d.unit, ["-O2"])], "unit string, arguments array<string>")), rules)
 
 
 def test_patterns_and_implicit_functions_are_not_defined(corners):

@@ -118,7 +118,7 @@ def test_selectors_must_name_one(spark, names, count):
     symbols = [("k%d" % i, ("stable", "default", "", "l%d" % i, "", ""), n, f"ns::{n}", "", "", "function", "reportable", True, False, False, None) for i, n in enumerate(names)]
     facts = with_linkage(make_facts(spark, symbols))
     rows = spark.createDataFrame(policies.provider_rows("schema_version: 1\nprovider: p\nroots: [{symbol: {qualified_name: '%s'}, reason: r}]" % ("ns::x" if count else "ns::y")), policies.COLUMNS)
-    with pytest.raises(ValueError, match=f"matched {count} symbols"):
+    with pytest.raises(ValueError, match=f"qualified_name 'ns::.' of p/roots/0/symbol matched {count} symbols"):
         policies.apply_provider_policies(facts, rows)
 
 
