@@ -13,10 +13,12 @@ the data and is nowhere held as a whole: its arcs and failure weights are worked
    by how much the counts of the n-grams that continue a history exceed 1 each. A history that isn't the end of a text is always continued, so its
    count less that excess is the number of its arcs, which the failure weight needs. However common a word, pair or triple is, a
    chunk sends it once, and the number of buckets grows with the tokens, so no task grows with the corpus.
-3. Each chunk meets its answers and its texts are traversed.
+3. Each chunk meets its answers and its texts are scored.
 
-Scoring is one traversal from left to right. A state is the longest suffix of what was read that the model
-holds; an arc adds the discounted log-probability, a failure arc the backoff weight of the state it leaves.
+A state of the automaton is the longest suffix of what was read that the model holds; an arc adds the discounted log-probability, a
+failure arc the backoff weight of the state it leaves. With order 3 a state depends on the last two words alone, so no state is carried from
+word to word: the states of all positions of a chunk, their arcs, and where these lack the failure arcs to the next shorter states, are taken at once, as
+arrays, order by order. This gives what a traversal from left to right gives; one word at a time it would cost more than the tool's limit.
 
 Defined cases: a null text is an empty one, whose only token is the end. Null ids hash as empty text. Rows that
 repeat stay rows and count as often as they stand there. With no training rows (or none at all) N and V are 0,
