@@ -241,7 +241,7 @@ def test_incomplete_runs(spark, aggregating, reaching):
 
 def test_dangling_references(spark, reaching):
     with pytest.raises(ValueError, match="unknown symbols"):
-        documents.check_references(reaching.with_(symbols=reaching.symbols.filter("key <> 'opaque'")))
+        artifact.check_references(reaching.with_(symbols=reaching.symbols.filter("key <> 'opaque'")))
 
 
 def test_merge_does_not_depend_on_order(spark):
