@@ -39,7 +39,7 @@ from reachlake.llm.common import whole, written
 LENGTH = 2048
 END_ID = 0
 #: Pieces of a shard, on average, and the part of a sequence that a settled bin leaves at most.
-SHARD, POOR = 1 << 13, 64
+SHARD, POOR = 1 << 16, 8
 #: Cached parts of texts, and the longest that is cached.
 CACHE_PARTS, CACHE_CHARS = 1 << 19, 64
 DIGITS = "0123456789"
@@ -204,7 +204,7 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Another order and other shards in each round.
         order = F.xxhash64("uid", F.lit(len(settled)))
         dealt = active.withColumns({"order": order, "shard": F.pmod(order, F.lit(shards))})
-        packed = written(dealt.groupBy("shard").applyInPandas(packer(length), "uid long, length long, sequence_id long, offset long, gap long"), "packed")
+        packed = written(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(packer(length), "uid long, length long, sequence_id long, offset long, gap long"), "packed")
         poor = F.col("gap") * POOR > length
         left = packed.filter(poor).count() if shards > 1 else 0
         if 2 * left > n:
