@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
+from reachlake.llm.bpe import byte_alphabet
 from reachlake.llm.common import whole, written
 
 LENGTH = 2048
@@ -83,13 +84,17 @@ class Parts:
     marks begin (but for apostrophes, which it joins to some letters). A text is cut at its spaces, and a part that wasn't seen before at the others."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.alphabet = tokenizer, tokenizer.model, dict(enumerate(byte_alphabet()))
         self.spaced, self.bare = Cache(lambda part: self.cut(part, self.spaced, " ")), Cache(lambda part: self.cut(part, self.bare, ""))
         self.line_feed = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, text: str) -> bytes:
+        """The ids of one match of the pattern, which needs no more than the merges."""
+        return np.array([x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+
     def cut(self, part: str, own: Cache, lead: str) -> bytes:
         """The ids of lead and a part that doesn't end in white space."""
         if not part or part[-1].isspace():
@@ -100,7 +105,8 @@ class Parts:
         word = part.rstrip(MARKS)
         if word and len(word) < len(part) and (word[-1].isalpha() or word[-1] in DIGITS) and "<|" not in part:
             return own[word] + self.bare[part[len(word) :]]
-        return self.ids(lead + part)
+        # Letters alone, with a space or without, are one match.
+        return self.word(lead + part) if part.isalpha() else self.ids(lead + part)
 
     def encode(self, text: str) -> bytes:
         first, *parts = text.split(" ")
