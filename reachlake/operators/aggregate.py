@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachlake.storage import merged
+
 MEASURED = "file is not null and file <> '' and begin_line > 0 and end_line >= begin_line"
 
 
@@ -21,7 +23,7 @@ def line_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     islands = islands.withColumn("island", F.sum("opens").over(order)).groupBy(*by, "file", "island").agg((F.max("end_line") - F.min("begin_line") + 1).alias("n"))
     lines = islands.groupBy(*by).agg(F.sum("n").alias("lines"))
     members = rows.groupBy(*by).agg(F.count("*").alias("members"), F.count_if(~F.coalesce(F.expr(MEASURED), F.lit(False))).alias("unmeasured"))
-    return members.join(lines, by, "left").select(*by, F.coalesce("lines", F.lit(0)).cast("long").alias("lines"), "members", "unmeasured")
+    return members.join(merged(lines), by, "left").select(*by, F.coalesce("lines", F.lit(0)).cast("long").alias("lines"), "members", "unmeasured")
 
 
 def directory(file: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reachlake.operators.reach import eligible, unreachable
 from reachlake.schema import PROVIDED, Facts
+from reachlake.storage import merged
 
 
 def classification(escaped: Column) -> Column:
@@ -28,7 +29,7 @@ def findings(facts: Facts, reached: DataFrame) -> DataFrame:
     escapes = facts.escapes.select("symbol", item.alias("item")).distinct().groupBy("symbol").agg(F.sort_array(F.collect_list("item")).alias("escapes"))
     why = F.col("evidence") if "evidence" in facts.suppressions.columns else F.struct(F.lit("").alias("provider"), F.lit("").alias("reason"))
     suppressions = facts.suppressions.select("symbol", why.alias("why")).distinct().groupBy("symbol").agg(F.sort_array(F.collect_list("why")).alias("suppressions"))
-    rows = candidates.join(escapes.withColumnRenamed("symbol", "key"), "key", "left").join(suppressions.withColumnRenamed("symbol", "key"), "key", "left")
+    rows = candidates.join(merged(escapes.withColumnRenamed("symbol", "key")), "key", "left").join(merged(suppressions.withColumnRenamed("symbol", "key")), "key", "left")
     rows = rows.withColumn("classification", classification(F.col("escapes").isNotNull()))
     # The reasons that findings carry.
     first = evidence("no_reachable_path", "reachability_analysis", "no path from an application root")
@@ -54,7 +55,7 @@ def summary(facts: Facts, reached: DataFrame) -> DataFrame:
     """One row of counters over the project's own definitions, and the scopes of all symbols."""
     hidden = facts.suppressions.select(F.col("symbol").alias("key")).distinct().withColumn("hidden", F.lit(True))
     public = facts.roots.filter("kind = 'public_api'").select(F.col("symbol").alias("key")).distinct().withColumn("public", F.lit(True))
-    rows = reached.join(hidden, "key", "left").join(public, "key", "left").withColumn("own", F.expr("defined and scope = 'reportable' and kind <> 'synthetic'"))
+    rows = reached.join(merged(hidden), "key", "left").join(merged(public), "key", "left").withColumn("own", F.expr("defined and scope = 'reportable' and kind <> 'synthetic'"))
     own, live, api = F.col("own"), F.col("reachable"), F.coalesce("public", F.lit(False))
     count = lambda c, name: F.count_if(c).alias(name)
     return rows.agg(
@@ -70,15 +71,15 @@ def provider_provenance(facts: Facts, reached: DataFrame) -> DataFrame:
     target = state.filter("provider_reachable and own").select(F.col("key").alias("symbol"))
     live = state.filter("reachable").select(F.col("key").alias("from"))
     extra = [c for c in ("evidence",) if c in facts.edges.columns and c in facts.roots.columns]
-    edges = facts.edges.filter(F.col("kind").isin(*PROVIDED)).select(F.col("dst").alias("symbol"), F.col("src").alias("from"), *extra).join(live, "from", "left_semi")
+    edges = facts.edges.filter(F.col("kind").isin(*PROVIDED)).select(F.col("dst").alias("symbol"), F.col("src").alias("from"), *extra).join(merged(live), "from", "left_semi")
     roots = facts.roots.filter(F.col("kind").isin(*PROVIDED)).select("symbol", F.lit(None).cast(facts.edges.schema["src"].dataType).alias("from"), *extra)
-    return edges.select("symbol", "from", *extra).unionByName(roots).join(target, "symbol", "left_semi").distinct()
+    return edges.select("symbol", "from", *extra).unionByName(roots).join(merged(target), "symbol", "left_semi").distinct()
 
 
 def public_api(facts: Facts) -> DataFrame:
     """Reportable symbols that public-API roots name, with the roots' evidence."""
     names = facts.symbols.filter("scope = 'reportable'").select(F.col("key").alias("symbol"))
-    return facts.roots.filter("kind = 'public_api'").drop("kind").join(names, "symbol", "left_semi").distinct()
+    return facts.roots.filter("kind = 'public_api'").drop("kind").join(merged(names), "symbol", "left_semi").distinct()
 
 
 def candidates(reached: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reachlake.operators.classify import findings
 from reachlake.operators.reach import eligible, with_reach
 from reachlake.schema import CHANGE_KINDS, CLASSIFICATIONS, Facts, primary_extent
+from reachlake.storage import merged
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def states(facts: Facts) -> DataFrame:
     """(key, reachable, suppressed, classification, ...): the state of each eligible symbol of a run, computed and never taken from a report."""
     reached = with_reach(facts)
     found = findings(facts, reached).select("key", "classification", "evidence", "suppressions")
-    return eligible(reached).join(found, "key", "left").withColumn("suppressed", F.coalesce(F.size("suppressions") > 0, F.lit(False)))
+    return eligible(reached).join(merged(found), "key", "left").withColumn("suppressed", F.coalesce(F.size("suppressions") > 0, F.lit(False)))
 
 
 def with_display(rows: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def with_display(rows: DataFrame) -> DataFrame:
 def changes(baseline: Facts, current: Facts, policy: Policy = Policy(), target: str = "") -> DataFrame:
     """(key, change, symbol, baseline_*, current_*, policy_match) of every symbol whose state changed. symbol shows it as it is now, or as it was if it is gone."""
     old, new = (with_display(states(f)).select("key", F.struct("reachable", "suppressed", "classification", "symbol").alias(side)) for f, side in ((baseline, "old"), (current, "new")))
-    both = old.join(new, "key", "full_outer")
+    both = old.join(merged(new), "key", "full_outer")
     change = (
         F.when(F.col("old").isNull(), "new_symbol").when(F.col("new").isNull(), "removed").when(F.col("old.reachable") & ~F.col("new.reachable"), "newly_unreachable").when(~F.col("old.reachable") & F.col("new.reachable"), "became_reachable")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachlake.schema import EDGE_KINDS, INDEXED_BODIES, PROVIDED, Facts
-from reachlake.storage import new_path, written
+from reachlake.storage import merged, new_path, written
 
 HOPS = 4
 #: Tables of the visited set from which they are made one, so a turn doesn't read all earlier ones.
@@ -25,7 +25,7 @@ def adjacency(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, structural) of the edges that can be followed."""
     bodies = symbols.filter(F.col("scope").isin(*INDEXED_BODIES)).select(F.col("key").alias("src"))
     usable = edges.filter(F.col("kind").isin(*EDGE_KINDS)).select("src", "dst", (~F.col("kind").isin(*PROVIDED)).alias("structural"))
-    return usable.join(bodies, "src", "left_semi").groupBy("src", "dst").agg(F.max("structural").alias("structural"))
+    return usable.join(merged(bodies), "src", "left_semi").groupBy("src", "dst").agg(F.max("structural").alias("structural"))
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def reach(facts: Facts) -> DataFrame:
         steps = [frontier]
         for _ in range(HOPS):
             last = steps[-1]
-            steps.append(best(edges.join(last.withColumnsRenamed({"key": "src", "structural": "so_far"}), "src").select(F.col("dst").alias("key"), (F.col("structural") & F.col("so_far")).alias("structural"))))
+            steps.append(best(edges.join(merged(last.withColumnsRenamed({"key": "src", "structural": "so_far"})), "src").select(F.col("dst").alias("key"), (F.col("structural") & F.col("so_far")).alias("structural"))))
         visited = best(spark.read.schema(schema).parquet(*parts)).withColumnRenamed("structural", "known")
-        found = best(reduce(DataFrame.unionAll, steps[1:])).join(visited, "key", "left").filter("known is null or (structural and not known)").select("key", "structural")
+        found = best(reduce(DataFrame.unionAll, steps[1:])).join(merged(visited), "key", "left").filter("known is null or (structural and not known)").select("key", "structural")
         turn += 1
         found.write.parquet(f"{base}/turn={turn}")
         if spark.read.schema(schema).parquet(f"{base}/turn={turn}").isEmpty():
@@ -62,7 +62,7 @@ def reach(facts: Facts) -> DataFrame:
 def with_reach(facts: Facts, found: DataFrame | None = None) -> DataFrame:
     """The symbols with reachable, structurally_reachable and provider_reachable; found is what reach gave for them, if that is known."""
     got = reach(facts) if found is None else found
-    joined = facts.symbols.join(got, "key", "left")
+    joined = facts.symbols.join(merged(got), "key", "left")
     return joined.withColumn("reachable", F.col("structural").isNotNull()).withColumn("structurally_reachable", F.coalesce("structural", F.lit(False))).withColumn("provider_reachable", F.coalesce(~F.col("structural"), F.lit(False))).drop("structural")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reachlake.functions.keys import stable_key
 from reachlake.operators import aggregate, classify, components, diff, merge, resolve, targets
+from reachlake import storage
+from reachlake.operators import reach as reach_loop
 from reachlake.operators.reach import reach, unreachable, with_reach
 from reachlake.plans import analysis
 from reachlake.schema import EDGE, ESCAPE, ROOT, SUPPRESSION, SYMBOL, Facts
@@ -16,6 +18,47 @@ from reachlake.sinks import artifact, documents
 from reachlake.sinks.documents import Context
 
 
+def test_no_join_of_a_loop_broadcasts(spark, monkeypatch):
+    """Whatever is broadcast goes through the driver, so what grows with the input is joined by merging, also where it is small."""
+    plans = []
+    for module in (reach_loop, components, documents, merge):
+        kept = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, kept=kept: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    edges = [("r", "a", "direct_call"), ("b", "c", "direct_call"), ("c", "b", "direct_call"), ("c", "d", "direct_call")]
+    facts = make_facts(spark, [symbol(x, file="f.cpp", lines=(1, 2)) for x in "rabcd"], edges, [("r", "manual")], [("b", "a")])
+    reached = with_reach(facts)
+    found = classify.findings(facts, reached)
+    nodes = unreachable(reached).select("key")
+    strong = components.strong_components(nodes, components.induced(nodes, facts.edges))
+    owned = aggregate.ownership(strong.join(storage.merged(facts.symbols.withColumns({"file": F.lit("f"), "begin_line": F.lit(1), "end_line": F.lit(2)})), "key"))
+    changed = diff.changes(facts, facts.with_(roots=facts.roots.limit(0)))
+    order = components.component_order(strong, nodes.select("key", *[F.lit("x").alias(c) for c in ("file", "line", "column", "qualified_name", "signature")]))
+    last = (found, strong, owned, changed, classify.summary(facts, reached), classify.provider_provenance(facts, reached), components.condensation(strong, facts.edges))
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in last]
+    assert order.count() == 2 and sorted(r.scc for r in strong.collect()) == ["b", "b", "d"]
+    assert len(plans) > 12 and not [p for p in plans if "BroadcastHashJoin" in p and "_range" not in p]
+
+
+def test_small_components_share_a_group(spark, monkeypatch):
+    monkeypatch.setattr(components, "GROUP", 4)
+    nodes = spark.createDataFrame([(i,) for i in range(40)], "key long")
+    edges = spark.createDataFrame([(i, i ^ 1) for i in range(40)] + [(1, 2)], "src long, dst long")
+    rows = components.strong_components(nodes, edges).collect()
+    assert sorted((r.key, r.scc, r.component) for r in rows) == [(i, i & ~1, 0 if i < 4 else i & ~1) for i in range(40)]
+
+
+def test_sarif_in_parts_is_the_same_document(spark, tmp_path):
+    facts = make_facts(spark, [symbol(x, file="f.cpp", lines=(1, 2)) for x in "abc"], (), [("a", "manual")])
+    changed = diff.changes(facts.with_(symbols=facts.symbols.filter("key = 'a'")), facts)
+    out = io.StringIO()
+    documents.write_sarif(out, changed, facts.symbols)
+    documents.write_sarif_parts(str(tmp_path / "parts"), changed, facts.symbols)
+    assert out.getvalue() == "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert len(json.loads(out.getvalue())["runs"][0]["results"]) == 2
+    documents.write_sarif_parts(str(tmp_path / "none"), changed.limit(0), facts.symbols)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))["runs"][0]["results"] == []
+
+
 def point(file="", line=0, column=0):
     return (file, line, column, 0, 1)
 
