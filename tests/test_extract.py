@@ -193,3 +193,22 @@ def test_places_of_headers():
     # A node without a place stands where the one around it does.
     nested = places({"kind": "NamespaceDecl", "name": "n", "loc": dict(first), "inner": [function("below", {"offset": 8, "file": "/p/src/a.cpp", "line": 9, "col": 1}), function("bare", {})]})
     assert nested["bare"][0] == "/usr/include/t.h"
+
+
+def test_table_of_nodes_holds_what_matters(spark):
+    """Statements that facts aren't inferred from make no rows, and the places they take still count."""
+    d = Dump("/p/src/a.cpp")
+    call_at = {**call("f"), "loc": {"line": 7, "col": 2}}
+    d.add(d.decl("FunctionDecl", "f", [{"kind": "IfStmt", "loc": {"file": "/p/src/h.h", "line": 3}, "inner": [call_at]}]), {"id": "0xg", "kind": "FunctionDecl", "name": "g", "mangledName": "_Zg", "loc": {"line": 5, "col": 1}})
+    rows = ast_nodes(spark.createDataFrame([(d.unit, d.text())] * 1, "unit string, text string")).orderBy("node").collect()
+    assert [(r.kind, r.name) for r in rows] == [("FunctionDecl", "f"), ("CallExpr", ""), ("DeclRefExpr", ""), ("FunctionDecl", "g")]
+    assert rows[3].source.spelling.location.file == "/p/src/h.h" and rows[2].callee and rows[2].call == rows[1].node and rows[1].source is None
+    every = list(nodes_of(d.unit, d.text(), "/"))
+    assert all(r.parent == every[r.node]["parent"] and r.last == every[r.node]["last"] and r.file == every[r.node]["file"] for r in rows)
+
+
+def test_dumps_are_dealt_to_all_tasks(spark):
+    """The pairs a dump is made of are small and the dump isn't: suppliers go to as many tasks as a shuffle has."""
+    from reachlake.plans.input_queries import sold
+
+    assert sold(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
