@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,8 @@ UNICODE_16 = (
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
 )
 LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-CACHE_WORDS = 1 << 19
+#: Words of a generation of the cache. A word takes some 200 bytes, its ids as two bytes each, so both generations take some 100 MB of a worker.
+CACHE_WORDS = 1 << 18
 #: Words longer than this aren't cached, which bounds the cache's bytes.
 CACHE_CHARS = 64
 
@@ -143,8 +145,8 @@ class Tokenizer:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         #: Two generations: a full young one becomes the old one, so frequent words stay.
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -152,16 +154,16 @@ class Tokenizer:
         ids[-1] = self.last[raw[-1]]
         return merge_symbols(ids, self.merges) if len(ids) > 1 else ids
 
-    def unseen(self, chunk: str) -> tuple[int, ...]:
-        """The ids of a chunk that the young generation lacks."""
+    def unseen(self, chunk: str) -> bytes:
+        """The ids of a chunk that the young generation lacks, two bytes each (merges hold no larger ones)."""
         ids = self.old.get(chunk)
         if ids is None:
             words = self.pattern.findall(chunk.translate(LOWER_16))
             if words == [chunk]:
-                ids = tuple(self.merge(chunk))
+                ids = array("H", self.merge(chunk)).tobytes()
             else:
                 # A word with a comma is a word and a comma, and each of them is known, or will be.
-                ids = tuple([i for word in words for i in self.young.get(word) or self.unseen(word)])
+                ids = b"".join([self.young.get(word) or self.unseen(word) for word in words])
         if len(chunk) <= CACHE_CHARS:
             if len(self.young) >= CACHE_WORDS:
                 self.old, self.young = self.young, {}
@@ -169,10 +171,10 @@ class Tokenizer:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        out: list[bytes] = []
         for piece in self.cut.split(text):
             if piece in self.added:
-                out.append(self.added[piece])
+                out.append(array("H", [self.added[piece]]).tobytes())
                 continue
             # A capital sigma at a word's end is an ordinary sigma here: letters are lowered one by one.
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
@@ -183,8 +185,8 @@ class Tokenizer:
                 if ids is None:
                     ids = self.unseen(chunk)
                     known = self.young.get
-                out += ids
-        return out
+                out.append(ids)
+        return array("H", b"".join(out)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])

@@ -1,5 +1,6 @@
 """Every operator against brute force, and its defined cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gc
 import hashlib
 import math
 import os
@@ -8,6 +9,7 @@ import re
 import string
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -268,6 +270,21 @@ def test_long_texts_pool_alike():
         assert np.allclose(full.max(axis=0), best[own]) and (full.argmax(axis=0) == where[own]).all()
 
 
+def test_cached_words_are_small():
+    """Two workers of an executor each keep two generations of cached words."""
+    rng = random.Random(11)
+    chunks = list({"".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(30_000)})
+    own = bpe.Tokenizer(bpe.vocabulary_path())
+    own.encode("some words, first")
+    gc.collect()
+    tracemalloc.start()
+    for chunk in chunks:
+        own.encode(chunk)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(own.young) >= len(chunks) and size < 200 * len(chunks) and 2 * bpe.CACHE_WORDS * 200 < 110e6
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
