@@ -251,6 +251,28 @@ def test_training_bytes_are_bounded(spark):
     assert 60 < seen[0][0] <= 100 and seen[1][1] <= 1000
 
 
+def test_every_labelled_text_trains(spark, monkeypatch):
+    """Words that only texts beyond the driver's sample hold count, whatever the partitions, and thresholds come from all clean texts."""
+    monkeypatch.setattr(toxicity, "SHARD", 800)
+    rng = random.Random(12)
+    nice, nasty = [f"word{i}" for i in range(300)], [f"vile{i}" for i in range(20)]
+    toxic = [i % 3 == 0 for i in range(1800)]
+    texts = [" ".join(rng.choice(nice) for _ in range(40)) + (f" {nasty[i // 3 % 20]} " * 2 if y else "") for i, y in enumerate(toxic)]
+    rows = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
+    marks = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train_on(rows, marks, hold_out=False, sample=40)
+    again = toxicity.train_on(rows.repartition(7), marks.repartition(3), hold_out=False, sample=40)
+    assert (model.table == again.table).all() and (model.scale, model.threshold, model.thresholds) == (again.scale, again.threshold, again.thresholds)
+    ids = lambda word: toxicity.bucket_ids(f"{' '.join(nice[:40])} {word} {word}", toxicity.Buckets())
+    scored = lambda word: toxicity.probability(np.array([toxicity.logit(ids(word), model)]), model.scale)[0]
+    assert sum(scored(x) >= 0.5 for x in nasty) >= 19 and scored("word7") < 0.5
+    assert set(model.thresholds) == set() and model.threshold >= 0.5
+    monkeypatch.setattr(toxicity, "LEAST", 20)
+    some = toxicity.train_on(rows, marks, hold_out=False, sample=40)
+    clean = [r.score for r in toxicity.score_toxicity(rows.filter("lang = 'en'"), some).collect() if not toxic[r.doc_id] and zlib.crc32(b"tune %d" % r.doc_id) % 4 == 0]
+    assert set(some.thresholds) == {"en"} and sum(x > some.thresholds["en"] for x in clean) <= math.floor(len(clean) * toxicity.FALSE_ALARMS)
+
+
 def test_toxicity_without_labels(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = docs_of(spark, ["a", None])
