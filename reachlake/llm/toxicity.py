@@ -3,14 +3,15 @@
 A text is lower-cased (A-Z) and cut at white space and punctuation; each word hashes to one of BUCKETS embeddings.
 Filters of WIDTHS words slide over the whole text, each filter's largest response is kept (max pooling), and a logistic
 output weighs them. A convolution over looked-up embeddings is a sum of looked-up rows, so scoring gathers from
-one small table (a row of sum(WIDTHS) x FILTERS floats for each bucket that training met, BUCKETS at most), which is what is
-broadcast; its size doesn't grow with the data.
+one small table (a row of sum(WIDTHS) x FILTERS floats for each bucket that training met, BUCKETS at most), which each worker
+makes of the embeddings (DIM floats a bucket); these are what is broadcast, and their size doesn't grow with the data.
 
 Training: every labelled document, one row each. Whole texts become bucket numbers on the executors, packed by a hash of the id into
 shards of some SHARD documents. Where all of them come to SAMPLE documents and SAMPLE_WORDS words at most, the driver trains on all.
 Otherwise what it takes of the first shard within these bounds gives the starting weights only, and EPOCHS rounds follow, in which
 each shard trains on all its texts from the weights of the round before; what a bucket has changed by is averaged over the shards
-that trained it. Only changes of weights and counts by bucket reach the driver, so that what it holds doesn't grow with the data.
+that trained it. Only changes of weights and counts by bucket reach the driver, as Arrow columns and not row by row, so that what it
+holds doesn't grow with the data.
 All embedding dimensions train. The first starts at how much more often toxic texts hold the bucket than chance gives,
 the others at random. A quarter of the texts doesn't train but calibrates:
 Platt scaling for the score, and for each language the threshold, at least 0.5, above which at most FALSE_ALARMS
@@ -28,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -93,8 +95,9 @@ TAPS = [(k, t) for k, width in enumerate(WIDTHS) for t in range(width)]
 
 @dataclass
 class Model:
-    #: Rows of the buckets that say something, and each bucket's row; row 0 is empty.
-    table: np.ndarray = field(default_factory=lambda: np.zeros((1, sum(WIDTHS) * FILTERS), np.float32))
+    #: Embeddings of the buckets that say something, and each bucket's row; row 0 is empty.
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((1, DIM), np.float32))
+    kernel: np.ndarray = field(default_factory=lambda: np.zeros((len(TAPS), DIM, FILTERS), np.float32))
     place: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.int32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
     out: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
@@ -104,6 +107,17 @@ class Model:
     #: While it trains.
     weights: Weights | None = None
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """What each tap of each filter gives for each row. It is six times as large as the rows, so it is made where it is used."""
+        table = np.empty((len(self.rows), len(TAPS) * FILTERS), np.float32)
+        for i in range(len(TAPS)):
+            table[:, i * FILTERS : (i + 1) * FILTERS] = self.rows @ self.kernel[i]
+        return table
+
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
 
 def pooled(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest response of each filter over the whole text and where it starts."""
@@ -220,8 +234,7 @@ def finished(weights: Weights, final: np.ndarray) -> Model:
     place = np.zeros(BUCKETS, np.int32)
     place[some] = np.arange(1, len(some) + 1)
     rows = np.concatenate((np.zeros((1, DIM), np.float32), emb[some]))
-    table = np.concatenate([rows @ weights.kernel[i] for i in range(len(TAPS))], axis=1).astype(np.float32)
-    return Model(table, place, weights.bias, weights.out, weights=weights)
+    return Model(rows, weights.kernel, place, weights.bias, weights.out, weights=weights)
 
 
 def platt(z: np.ndarray, toxic: np.ndarray, count: np.ndarray | None = None) -> tuple[float, float]:
@@ -257,9 +270,9 @@ def probability(z: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
 def marked(ids: DataFrame, bits: int) -> np.ndarray:
     """A bit for each remainder of the ids' hashes."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    found = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)
-    words[found["word"]] = found["bits"]
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
     return words
 
 
@@ -301,7 +314,9 @@ def packed(docs: DataFrame, known: DataFrame, shards: int, bits: int) -> DataFra
 
     dealt = lambda df: df.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
     found = dealt(rows.mapInPandas(digest, "doc_id long, lang string, ids binary")).groupBy("shard").cogroup(dealt(known).groupBy("shard")).applyInPandas(pack, PACKED)
-    return written(found, "shards")
+    done = written(found, "shards")
+    shared.destroy()
+    return done
 
 
 @dataclass
@@ -373,7 +388,7 @@ def train_on(docs: DataFrame, marks: DataFrame, hold_out: bool = True, sample: i
                 yield pd.DataFrame({"doc_id": own.doc_ids, "lang": [x or None for x in own.langs], "toxic": own.toxic.astype(int), "ids": [x.tobytes() for x in own.texts]})
 
     first = shards.select(F.min("shard")).first()[0]
-    got = shards.filter(F.col("shard") == first).mapInPandas(head, "doc_id long, lang string, toxic int, ids binary").toPandas().sort_values("doc_id", ignore_index=True)
+    got = shards.filter(F.col("shard") == first).mapInPandas(head, "doc_id long, lang string, toxic int, ids binary").toArrow().to_pandas().sort_values("doc_id", ignore_index=True)
     texts, toxic = [np.frombuffer(x, np.uint32) for x in got["ids"]], got["toxic"].to_numpy(float)
     tune = tunes(got["doc_id"])
     apart = all(split)
@@ -409,9 +424,10 @@ def trained_on(shards: DataFrame, model: Model, split: list[int], apart: bool) -
         some = np.flatnonzero(seen.any(axis=0))
         return pd.DataFrame({"slot": some} | {f"c{k}": seen[k][some] for k in range(4)})
 
-    found = over_shards(shards, held, "slot long, c0 long, c1 long, c2 long, c3 long").groupBy(F.col("slot").cast("int").alias("slot")).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).toPandas()
-    seen = np.zeros((4, BUCKETS + 1))
-    seen[:, found["slot"]] = found[["c0", "c1", "c2", "c3"]].to_numpy().T
+    found = over_shards(shards, held, "slot long, c0 long, c1 long, c2 long, c3 long").groupBy(F.col("slot").cast("int").alias("slot")).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).toArrow()
+    seen, slot = np.zeros((4, BUCKETS + 1)), found["slot"].to_numpy()
+    for k in range(4):
+        seen[k, slot] = found[f"c{k}"].to_numpy()
     texts, seen = seen[:, BUCKETS].reshape(2, 2), seen[:, :BUCKETS].reshape(2, 2, BUCKETS)
     of = lambda counts, n: excess_of(counts, float(n[1] / max(1.0, n.sum())))
     firsts, final = [of(seen[1 - k], texts[1 - k]) for k in (0, 1)], of(seen.sum(axis=0), texts.sum(axis=0))
@@ -421,11 +437,12 @@ def trained_on(shards: DataFrame, model: Model, split: list[int], apart: bool) -
     for epoch in range(EPOCHS):
         shared = context.broadcast((weights, firsts, ratio))
         change = over_shards(shards, changes(shared, train_part, fill, epoch), "slot int, " + ", ".join(f"d{i} int" for i in range(DIM)))
-        mean = change.groupBy("slot").agg(*[(F.sum(f"d{i}") / F.count("*") / FINE).cast("float").alias(f"d{i}") for i in range(DIM)]).toPandas()
-        rows = np.zeros((BUCKETS + dense_rows(weights), DIM), np.float32)
-        rows[mean["slot"]] = mean[[f"d{i}" for i in range(DIM)]].to_numpy(np.float32)
+        mean = change.groupBy("slot").agg(*[(F.sum(f"d{i}") / F.count("*") / FINE).cast("float").alias(f"d{i}") for i in range(DIM)]).toArrow()
+        rows, slot = np.zeros((BUCKETS + dense_rows(weights), DIM), np.float32), mean["slot"].to_numpy()
+        for i in range(DIM):
+            rows[slot, i] = mean[f"d{i}"].to_numpy()
         weights.emb += rows[:BUCKETS]
-        weights.trained[mean["slot"][mean["slot"] < BUCKETS]] = True
+        weights.trained[slot[slot < BUCKETS]] = True
         flat = rows[BUCKETS:].ravel()
         for p in weights.dense():
             p += flat[: p.size].reshape(p.shape)
@@ -473,7 +490,7 @@ def calibrated(shards: DataFrame, model: Model, part: Callable[[Shard], Shard])
         return found.groupby(["lang", "toxic", "step"], dropna=False).size().reset_index(name="n")
 
     found = written(over_shards(shards, steps, "lang string, toxic int, step int, n long").groupBy("lang", "toxic", "step").agg(F.sum("n").alias("n")), "logits")
-    both = found.groupBy("toxic", "step").agg(F.sum("n").alias("n")).toPandas().sort_values(["toxic", "step"], ignore_index=True)
+    both = found.groupBy("toxic", "step").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["toxic", "step"], ignore_index=True)
     model.scale = platt(both["step"].to_numpy(float) / GRID, both["toxic"].to_numpy(float), both["n"].to_numpy(float))
     clean = found.filter("toxic = 0")
 

@@ -4,6 +4,7 @@ import gc
 import hashlib
 import math
 import os
+import pickle
 import random
 import re
 import string
@@ -273,6 +274,23 @@ def test_every_labelled_text_trains(spark, monkeypatch):
     assert set(some.thresholds) == {"en"} and sum(x > some.thresholds["en"] for x in clean) <= math.floor(len(clean) * toxicity.FALSE_ALARMS)
 
 
+def test_training_brings_the_driver_no_rows(spark, monkeypatch):
+    """What the driver gets by bucket comes as columns, and the model that is broadcast is less than its table."""
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    rng = random.Random(13)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(60)) + (" vile" if i % 3 == 0 else "") for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    own, sizes = type(marks), []
+    collect = own.collect
+    monkeypatch.setattr(own, "collect", lambda df: sizes.append(len(found := collect(df))) or found)
+    model = toxicity.train_on(docs_of(spark, texts), marks, hold_out=False, sample=40)
+    assert sizes and max(sizes) <= 10
+    buckets = len(model.table)
+    assert buckets > 1000 and len(pickle.dumps(model)) < model.place.nbytes + buckets * 4 * 2 * toxicity.DIM
+    again = pickle.loads(pickle.dumps(model))
+    assert (again.table == model.table).all() and again.scale == model.scale
+
+
 def test_toxicity_without_labels(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = docs_of(spark, ["a", None])
