@@ -12,7 +12,7 @@ from reachlake.operators import aggregate, classify, components, diff, merge, re
 from reachlake import storage
 from reachlake.operators import reach as reach_loop
 from reachlake.operators.reach import reach, unreachable, with_reach
-from reachlake.plans import analysis
+from reachlake.plans import analysis, queries
 from reachlake.schema import EDGE, ESCAPE, ROOT, SUPPRESSION, SYMBOL, Facts
 from reachlake.sinks import artifact, documents
 from reachlake.sinks.documents import Context
@@ -357,6 +357,31 @@ def test_base_resolution(spark):
     assert {tuple(r) for r in resolve.resolve_bases(bases, classes).collect()} == {("n::D", "n::B"), ("D2", "m::B"), ("E", "m::B"), ("G", "Missing")}
 
 
+def test_pairs_of_suffixes(spark, monkeypatch):
+    """The same pairs as the join over last components, with repeated rows, and nothing for rows without a name or key."""
+    for name, value in (("LEFT_BLOCK", 3), ("RIGHT_BLOCK", 2), ("TASK_PAIRS", 50)):
+        monkeypatch.setattr(resolve, name, value)
+    rng = random.Random(3)
+    names = ["C", "m::C", "lib::m::C", "n::C", "lib::n::C", "xC", "m::xC", "m", "", "a:C", None]
+    left = spark.createDataFrame([(i % 70, rng.choice(names)) for i in range(80)] + [(None, "C")], "dst long, class_name string")
+    right = spark.createDataFrame([(i % 90, rng.choice(names)) for i in range(100)] + [(None, "C")], "src long, type string")
+    got = resolve.suffix_pairs(left, "class_name", "dst", right, "type", "src")
+    want = resolve.suffix_join(left.filter("dst is not null"), "class_name", right.filter("src is not null"), "type")
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.select("src", "dst").collect())) and want.count() > 500
+    assert resolve.suffix_pairs(left.limit(0), "class_name", "dst", right, "type", "src").count() == 0
+
+
+def test_pairs_of_one_frequent_name_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """600 constructors and uses of one name make 360,000 pairs, of which no task may get many."""
+    for name, value in (("LEFT_BLOCK", 50), ("RIGHT_BLOCK", 50), ("TASK_PAIRS", 20_000)):
+        monkeypatch.setattr(resolve, name, value, raising=False)
+    part = spark.range(600).select((F.col("id") * 350 + 3).alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")], F.lit(1).alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    pairs = queries.construct_suffix_join(spark, str(tmp_path))
+    by_task = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(by_task) == pairs.distinct().count() == 360_000 and max(by_task) < 60_000
+
+
 def test_offsets_to_lines(spark):
     files = spark.createDataFrame([("f", "ab\né\n\nx")], "file string, text string")
     asked = spark.createDataFrame([("f", i) for i in range(8)], "file string, offset int")
