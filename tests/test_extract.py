@@ -6,7 +6,7 @@ import pytest
 
 from reachlake.operators.extract import Project, extract
 from reachlake.operators.reach import with_reach
-from reachlake.sources.ast import ast_nodes, nodes_of, read_ast_dumps
+from reachlake.sources.ast import ast_nodes, nodes_of, points_in, read_ast_dumps, source_of
 
 
 class Dump:
@@ -212,3 +212,46 @@ def test_dumps_are_dealt_to_all_tasks(spark):
     from reachlake.plans.input_queries import sold
 
     assert sold(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sources_go_over_as_points(spark):
+    """A node's row has the same source whether it comes as a list of points or by name, with an expansion and without one."""
+    spelled = {"spellingLoc": {"offset": 7, "file": "/p/include/m.h", "line": 2, "col": 9, "tokLen": 4}, "expansionLoc": {"offset": 30, "file": "/p/src/a.cpp", "line": 11, "col": 1, "tokLen": 5}}
+    nodes = [function("m", spelled, begin=spelled), function("n", {"offset": 50, "line": 13, "col": 1}, [call("m")]), function("bare", {})]
+    text = json.dumps({"kind": "TranslationUnitDecl", "inner": nodes})
+    rows = ast_nodes(spark.createDataFrame([("/p/src/a.cpp", text)], "unit string, text string"))
+    want = {n["name"]: n["source"] for n in nodes_of("/p/src/a.cpp", text, "/") if n["source"]}
+    got = {r.name: r.source.asDict(recursive=True) for r in rows.filter("source is not null").collect()}
+    assert got == want and got["m"]["expansion"] and got["n"]["expansion"] is None
+    again = rows.filter("source is not null").select("name", source_of(points_in(rows["source"])).alias("source")).collect()
+    assert {r.name: r.source.asDict(recursive=True) for r in again} == want
+
+
+def test_a_walk_makes_rows_of_what_matters_only(monkeypatch):
+    """Nodes that make no row cost neither a row nor a source, and paths are normalised once for each file."""
+    from reachlake.sources import ast
+
+    d = Dump("/p/src/a.cpp")
+    d.add(*(d.decl("FunctionDecl", f"f{i}", [{"kind": "IfStmt", "loc": {"line": i}, "inner": [{"kind": "IntegerLiteral"}] * 5}]) for i in range(20)))
+    asked = []
+    monkeypatch.setattr(ast, "normal_path", lambda path, directory="/": asked.append(path) or path)
+    rows = ast.walked(d.unit, d.text(), "/", every=False)
+    assert len(rows) == 20 and len(asked) <= 2 and all(len(r) == len(ast.COLUMNS) for r in rows)
+
+
+def test_equal_declarations_of_many_units_are_one_row(spark):
+    """What is merged into symbols is one row for a header's function, however many units declare it; internal ones stay apart."""
+    from reachlake.operators import extract as own
+
+    header = lambda d: d.add({**d.decl("FunctionDecl", "shared", file="/p/src/h.h"), "loc": {"file": "/p/src/h.h", "line": 4}, "range": {}}, d.decl("FunctionDecl", "local", mangledName="_ZLlocal", storageClass="static"))
+    dumps = [Dump(f"/p/src/u{i}.cpp") for i in range(5)]
+    for d in dumps:
+        header(d)
+    nodes = ast_nodes(spark.createDataFrame([(d.unit, d.text()) for d in dumps], "unit string, text string"))
+    merged_rows, merge = [], own.merge_symbols
+    own.merge_symbols = lambda rows, place: merged_rows.append(rows.count()) or merge(rows, place)
+    try:
+        found = own.extract(nodes, Project("/p", ["/p/src"]))
+    finally:
+        own.merge_symbols = merge
+    assert merged_rows == [6] and sorted(r.name for r in found.symbols.collect()) == ["local"] * 5 + ["shared"]
