@@ -384,3 +384,21 @@ def test_written_tables(spark, tmp_path):
 
     df = written(spark.range(3), "three")
     assert [r.id for r in df.orderBy("id").collect()] == [0, 1, 2] and new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_lines_of_one_element_are_cut_without_tokens(monkeypatch):
+    """A line that holds one element gives the pieces that its tokens give, without going over these; others are cut by tokens."""
+    import re
+
+    from reachlake.sources import members
+
+    whole = ['    {"a":"}],{","b":[1,{"c":"\\\\\\""}]},', '  [{}, []]', '{"k": "\\\\"} , ', "\t[1,2],"]
+    other = ['{"a":1},{"b":2},', '{"a":1}]', '{"a":1', '[1],x', '{"a":"],', "[]][", '"a",', "", "],"]
+    cases = [(line, depth, level) for line in whole + other for level in (1, 2) for depth in range(4)]
+    found = [members.pieces_of(*case) for case in cases]
+    monkeypatch.setattr(members, "ELEMENT", re.compile("(?!)"))
+    assert found == [members.pieces_of(*case) for case in cases]
+    monkeypatch.undo()
+    monkeypatch.setattr(members, "TOKEN", None)
+    for line in whole[:2] + whole[3:]:
+        assert members.pieces_of(line, 2, 2)[0][:4] == (0, 0, "", "v")
